@@ -22,7 +22,7 @@ def patch_body(patch: Column, mode: str = "strict") -> Column:
     """
     hunks = F.regexp_extract(patch, r"(?dms)^@@.*", 0)
     bare = patch if _check(mode) == "strict" else F.regexp_replace(patch, r"\A[^\n]*\n?", "")
-    return F.when(hunks == "", bare).otherwise(hunks)
+    return F.when(F.startswith(patch, F.lit("@@")), patch).when(hunks == "", bare).otherwise(hunks)
 
 
 def line_kind(line: Column, mode: str = "strict") -> Column:
@@ -50,20 +50,14 @@ def parse_patch(patch: Column, mode: str = "strict") -> Column:
     strict: the sign is the first character. lenient: leading blanks are
     skipped before the sign is read and lines starting with ``!`` are left out.
     """
-    lines = F.split(patch_body(patch, mode), "\n")
+    body = patch_body(patch, mode)
+    before = "" if mode == "strict" else r"(?!!)[\s\p{Z}\x0b\x1c-\x1f\x85&&[^\n]]*"
 
     def side(sign: str) -> Column:
-        if _check(mode) == "strict":
-            hits = F.filter(lines, lambda l: F.startswith(l, F.lit(sign)))
-        else:
-            bare = F.transform(
-                F.filter(lines, lambda l: ~F.startswith(l, F.lit("!"))),
-                lambda l: F.regexp_replace(l, LEADING_BLANKS, ""),
-            )
-            hits = F.filter(bare, lambda l: F.startswith(l, F.lit(sign)))
-        return F.transform(hits, lambda l: line_text(l))
-
-    return F.struct(side("-").alias("deleted"), side("+").alias("added"))
+        signed_line = rf"(?dm)^{before}{sign}([^\n]*?)\r*$"
+        return F.regexp_extract_all(body, F.lit(signed_line), F.lit(1))
+
+    return F.struct(side("-").alias("deleted"), side(r"\+").alias("added"))
 
 
 def joined_lines(lines: Column) -> Column:

@@ -43,7 +43,7 @@ def _ends_cvc(word: str) -> bool:
 
 
 def _ends_double(word: str) -> bool:
-    return len(word) > 1 and word[-1] == word[-2] and _marks(word)[-1] == "c"
+    return word[-1:] == word[-2:-1] and _marks(word)[-2:] == "cc"
 
 
 def _swap(word: str, rules, least: int) -> str:

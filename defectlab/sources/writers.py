@@ -25,11 +25,25 @@ PROJECT_CHANGE_HEADS = {
 METRICS = ["auc", "precision", "recall", "f1"]
 
 
+def write_csv_text(df: DataFrame, path: str, mode: str = "overwrite", encoding: str = "UTF-8") -> None:
+    """Header CSV that keeps blanks and line breaks inside quoted fields."""
+    (
+        df.write.mode(mode)
+        .option("header", True)
+        .option("quote", '"')
+        .option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
+        .option("encoding", encoding)
+        .csv(path)
+    )
+
+
 def write_changes(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Change pairs as CSV with a header; ``overwrite`` truncates, ``append`` adds."""
     heads = CHANGE_HEADS if "deleted_lines" in df.columns else PROJECT_CHANGE_HEADS
     named = df.select(*[F.col(c).alias(h) for c, h in heads.items()])
-    named.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    write_csv_text(named, path, mode)
 
 
 def write_examples(df: DataFrame, path: str) -> None:
