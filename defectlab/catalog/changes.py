@@ -241,7 +241,7 @@ def x5_null_patch(spark, sf):
     f"""SELECT doc_id FROM documents WHERE list_has_any({terms_sql('text')}, ['worthless', 'token'])""",
 )
 def f9_keywords(spark, sf):
-    return rel.title_matches(fx.table(spark, sf, "documents"), "text", ("worthless", "token")).select("doc_id")
+    return rel.title_matches(fx.texts(spark, sf), "text", ("worthless", "token")).select("doc_id")
 
 
 VECTORS = f"""{TURNS},

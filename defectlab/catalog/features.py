@@ -11,7 +11,7 @@ from defectlab.sources import matrix_long, read_matrix
 
 
 def _postings(spark, sf):
-    return ft.postings(fx.table(spark, sf, "documents"), "doc_id", "text")
+    return ft.postings(fx.texts(spark, sf), "doc_id", "text")
 
 
 def _rows(spark, sf):

@@ -11,7 +11,7 @@ from defectlab.operators import features as ft
 
 
 def _docs(spark, sf, made):
-    docs = fx.table(spark, sf, "documents")
+    docs = fx.texts(spark, sf)
     return docs.select("doc_id", F.md5(made(F.col("text"))).alias("result"))
 
 
@@ -52,7 +52,7 @@ def t1_clean(spark, sf):
     FROM pages""",
 )
 def t2_strip_comments(spark, sf):
-    pages = fx.table(spark, sf, "pages")
+    pages = fx.texts(spark, sf, "pages")
     return pages.select("page_id", F.md5(tx.strip_comments(F.col("html"))).alias("result"))
 
 
@@ -111,7 +111,7 @@ VOCABULARY = f"vocab AS (SELECT token, count(*) AS n FROM (SELECT unnest({terms_
 
 
 def _vocabulary(spark, sf):
-    return ft.token_counts(fx.table(spark, sf, "documents"), "text")
+    return ft.token_counts(fx.texts(spark, sf), "text")
 
 
 @query("t9_stem_vocabulary", f"WITH {VOCABULARY}, {STEMS} SELECT token, stem, n FROM stems JOIN vocab USING (token)")
@@ -133,7 +133,7 @@ NORMAL = collapse_sql(_latin1(_drop_short(_trim_lower(_blank_controls("replace(t
 
 @query("t9_stem_text", stemmed_sql(NORMAL))
 def t9_stem_text(spark, sf):
-    docs = fx.table(spark, sf, "documents").select("doc_id", tx.normalize_script(F.col("text")).alias("content"))
+    docs = fx.texts(spark, sf).select("doc_id", tx.normalize_script(F.col("text")).alias("content"))
     return ft.stemmed(docs, "content").select("doc_id", F.md5("stemmed").alias("result"))
 
 
@@ -143,7 +143,7 @@ def t9_stem_text(spark, sf):
     (SELECT len(list_filter(string_split({collapse_sql('text')}, ' '), lambda t: t <> '')) AS n FROM documents)""",
 )
 def t11_token_stats(spark, sf):
-    return ft.token_stats(fx.table(spark, sf, "documents"), "text")
+    return ft.token_stats(fx.texts(spark, sf), "text")
 
 
 @query(
@@ -220,6 +220,6 @@ def f5_drop_null(spark, sf):
     FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)) WHERE {collapse_sql('l')} <> ''""",
 )
 def f6_non_blank(spark, sf):
-    docs = fx.table(spark, sf, "documents")
+    docs = fx.texts(spark, sf)
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     return ex.keep_non_blank(lines, "line").select("doc_id", "pos")

@@ -7,12 +7,18 @@ from pyspark.sql import functions as F
 
 from defectlab.functions.text import terms
 from defectlab.plans.skew import bounded_rows
+from defectlab.sources import read_texts
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def texts(spark: SparkSession, folder: str, name: str = "documents") -> DataFrame:
+    """A table whose texts are worked on row by row."""
+    return read_texts(spark, f"{folder}/{name}.parquet")
+
+
 def patch_of(text: Column) -> Column:
     """A patch whose hunks of six lines hold the text's lines under all kinds of signs."""
     lines = F.filter(F.split(text, "\n"), lambda l: l != "")
@@ -46,13 +52,13 @@ def commit_key(key: str) -> Column:
 
 def patches(spark: SparkSession, folder: str) -> DataFrame:
     """One patch per document."""
-    docs = table(spark, folder, "documents")
+    docs = texts(spark, folder)
     return docs.select("doc_id", "source", "lang", patch_of(F.col("text")).alias("patch"))
 
 
 def commits(spark: SparkSession, folder: str) -> DataFrame:
     """A commit per document: its file, one without a patch, and the first name again."""
-    docs = table(spark, folder, "documents")
+    docs = texts(spark, folder)
     path = path_of("doc_id")
     files = F.array(
         F.struct(path.alias("filename"), patch_of(F.col("text")).alias("patch")),
@@ -86,7 +92,7 @@ def worklist(spark: SparkSession, folder: str) -> DataFrame:
 
 def scripts(spark: SparkSession, folder: str) -> DataFrame:
     """Labelled scripts."""
-    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("script_id"), F.col("text").alias("content"))
+    docs = texts(spark, folder).select(F.col("doc_id").alias("script_id"), F.col("text").alias("content"))
     labels = table(spark, folder, "labels").select(F.col("doc_id").alias("script_id"), F.col("quality").alias("label"))
     return docs.join(labels, "script_id")
 
@@ -97,7 +103,7 @@ def _turn_key() -> Column:
 
 def project_commits(spark: SparkSession, folder: str) -> DataFrame:
     """A project per conversation, a commit per turn, titled by its text."""
-    turns = table(spark, folder, "conversations")
+    turns = texts(spark, folder, "conversations")
     return turns.select(
         F.col("conv_id").alias("project_id"), _turn_key().alias("commit_id"), F.col("text").alias("title")
     )
@@ -105,7 +111,7 @@ def project_commits(spark: SparkSession, folder: str) -> DataFrame:
 
 def project_diffs(spark: SparkSession, folder: str) -> DataFrame:
     """One diff per commit of those projects."""
-    turns = table(spark, folder, "conversations")
+    turns = texts(spark, folder, "conversations")
     return turns.select(
         F.col("conv_id").alias("project_id"),
         _turn_key().alias("commit_id"),
@@ -180,7 +186,7 @@ def eval_log(spark: SparkSession, folder: str) -> DataFrame:
 
 def script_dump(spark: SparkSession, folder: str) -> DataFrame:
     """Scripts as maps, one map per row, coded by language."""
-    docs = table(spark, folder, "documents")
+    docs = texts(spark, folder)
     labels = table(spark, folder, "labels").select("doc_id", "quality")
     code = F.when(F.col("lang") == "en", 0).when(F.col("lang") == "de", 1).otherwise(2)
     script = F.struct(F.col("text").alias("content"), F.col("quality").alias("label"), code.alias("dataset_id"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from defectlab.functions.stem import stem_text, stem_token
 from defectlab.functions.text import collapse_blanks, terms, words
-from defectlab.plans.skew import skew_join
+from defectlab.plans.skew import skew_join, summary_join
 
 MAX_VOCABULARY = 1 << 18
 
@@ -79,9 +79,8 @@ def bag_of_words(posts: DataFrame, vocab_size: int | None = None, min_df: int =
     if vocab_size is None:
         if min_df <= 1:
             return posts
-        counts = document_frequency(posts)
-        kept = counts.where(F.col("df") >= min_df).select("term")
-        return skew_join(posts, kept, ["term"], "left_semi", _spread(posts), counts.withColumnRenamed("df", "n"))
+        kept = document_frequency(posts).where(F.col("df") >= min_df)
+        return summary_join(posts, kept.withColumnRenamed("df", "n"), ["term"], _spread(posts))
     chosen = vocabulary(posts, vocab_size, min_df).select("term")
     if vocab_size <= MAX_VOCABULARY:
         chosen = F.broadcast(chosen)
@@ -92,9 +91,9 @@ def bag_of_words(posts: DataFrame, vocab_size: int | None = None, min_df: int =
 def tf_idf(posts: DataFrame, rows: Column | int) -> DataFrame:
     """Adds ``weight`` = tf * ln((rows + 1) / (df + 1))."""
     total = rows if isinstance(rows, Column) else F.lit(rows)
-    counts = document_frequency(posts)
-    idf = counts.select("term", F.log((total + 1) / (F.col("df") + 1)).alias("_idf"))
-    joined = skew_join(posts, idf, ["term"], "inner", _spread(posts), counts.withColumnRenamed("df", "n"))
+    idf = F.log((total + 1) / (F.col("df") + 1))
+    counts = document_frequency(posts).select("term", F.col("df").alias("n"), idf.alias("_idf"))
+    joined = summary_join(posts, counts, ["term"], _spread(posts))
     return joined.withColumn("weight", F.col("tf") * F.col("_idf")).drop("_idf")
 
 
@@ -117,9 +116,7 @@ def scale_stats(cells: DataFrame, rows: Column | int, value: str = "tf") -> Data
 def scale(cells: DataFrame, rows: Column | int, value: str = "tf") -> DataFrame:
     """Z-score of every stored cell; absent cells have their term's z_of_zero."""
     stats = scale_stats(cells, rows, value)
-    joined = skew_join(
-        cells, stats.select("term", "mu", "sd"), ["term"], "inner", _spread(cells), stats.select("term", "n")
-    )
+    joined = summary_join(cells, stats.select("term", "n", "mu", "sd"), ["term"], _spread(cells))
     z = (F.col(value) - F.col("mu")) / F.col("sd")
     return joined.withColumn("z", z).drop("mu", "sd")
 

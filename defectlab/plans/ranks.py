@@ -29,27 +29,22 @@ def seeded_hash(seed: int | Column, key: str) -> Column:
     return F.md5(F.concat(seed.cast("string"), F.lit(":"), F.col(key).cast("string")))
 
 
-def spread_buckets(df: DataFrame, key: str, by: list[str] | None = None) -> DataFrame:
+def spread_buckets(df: DataFrame, key: str) -> DataFrame:
     """Add ``_bucket``: ranges of ``key`` holding about equally many rows.
 
-    One aggregation without a shuffle of rows finds the row count and the range
-    limits. Small inputs get a single bucket.
+    Small inputs get a single bucket. Otherwise one aggregation, which shuffles
+    no rows, finds the range limits.
     """
-    wanted = [i / MAX_BUCKETS for i in range(1, MAX_BUCKETS)]
-    value = F.col(key).cast("double")
-    found = df.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.percentile_approx(value, wanted, 20 * MAX_BUCKETS).alias("limits"),
-    ).first()
-    parts = min(MAX_BUCKETS, math.ceil(found["n"] / ROWS_PER_BUCKET))
+    parts = min(MAX_BUCKETS, math.ceil(df.count() / ROWS_PER_BUCKET))
     if parts <= 1:
         return df.withColumn("_bucket", F.lit(0))
-    limits = sorted({found["limits"][round(i * MAX_BUCKETS / parts) - 1] for i in range(1, parts)})
+    valued = df.withColumn("_value", F.col(key).cast("double"))
+    shares = ", ".join(f"{i / parts!r}D" for i in range(1, parts))
+    limits = valued.agg(F.expr(f"percentile_approx(_value, array({shares}), {20 * parts})").alias("at")).first()["at"]
     cutter = Bucketizer(
-        splits=[-math.inf, *limits, math.inf], inputCol="_value", outputCol="_range", handleInvalid="keep"
+        splits=[-math.inf, *sorted(set(limits)), math.inf], inputCol="_value", outputCol="_range", handleInvalid="keep"
     )
-    ranged = cutter.transform(df.withColumn("_value", value))
-    return ranged.withColumn("_bucket", F.col("_range").cast("int")).drop("_value", "_range")
+    return cutter.transform(valued).withColumn("_bucket", F.col("_range").cast("int")).drop("_value", "_range")
 
 
 def running(

@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# A key is hot when it holds more than 1/HOT_PARTS of all rows, so there are
-# never more than HOT_PARTS hot keys, whatever the size of the data.
-HOT_PARTS = 512
+from defectlab.session import cut_lineage
+
+# Keys with more rows than this are split up. Only the HOT_KEYS largest are, so
+# any other key holds less than 1/HOT_KEYS of all rows.
+HOT_ROWS = 1_000_000
+HOT_KEYS = 512
+
+# A summary table is broadcast up to this size, and joined otherwise.
+SMALL_ROWS = 500_000
+SMALL_BYTES = 64 << 20
 
 
 def bounded_rows(df: DataFrame, most: int) -> list[Row] | None:
@@ -26,33 +34,44 @@ def skew_join(
 ) -> DataFrame:
     """Equi-join ``facts`` with ``dim`` (unique on ``on``) without hot partitions.
 
-    Hot keys are found from ``weights`` (``on`` + ``n``: fact rows per key,
-    counted map-side first when not given). At most HOT_PARTS of them exist,
-    which bounds the one broadcast here. Their fact rows are split by a hash of
-    ``spread`` into pieces of at most 1/HOT_PARTS of the data, and only their
-    ``dim`` rows are repeated, at most 2 * HOT_PARTS rows in total.
-    Supports inner, left, left_semi and left_anti.
+    The largest keys are looked up in ``weights`` (``on`` + ``n``: fact rows per
+    key), which is counted from the key columns when not given. Without a hot
+    key this is a plain join. Otherwise the fact rows of hot keys are split by a
+    hash of ``spread`` into pieces of about HOT_ROWS, and only their ``dim`` rows
+    are repeated, once per piece. Supports inner, left, left_semi and left_anti.
     """
     if weights is None:
         weights = facts.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
-    total = weights.agg(F.sum("n")).scalar()
-    hot = F.broadcast(
-        weights.where(F.col("n") * HOT_PARTS > total).select(
-            *on, F.ceil(F.col("n") * HOT_PARTS / total).cast("int").alias("_pieces")
-        )
-    )
-    null_key = F.greatest(*[F.col(c).isNull().cast("int") for c in on], F.lit(0)) == 1
-    place = F.xxhash64(*spread)
-    # Null keys match nothing; they only have to be spread out.
-    salted = facts.join(hot, on, "left").withColumn(
-        "_salt",
-        F.when(null_key, F.pmod(place, F.lit(HOT_PARTS)))
-        .when(F.col("_pieces").isNull(), F.lit(0))
-        .otherwise(F.pmod(place, F.col("_pieces")))
-        .cast("int"),
-    )
-    repeated = dim.join(hot, on, "left").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_pieces", F.lit(1)) - 1))
-    )
-    keyed = [*on, "_salt"]
-    return salted.drop("_pieces").join(repeated.drop("_pieces"), keyed, how).drop("_salt")
+    heavy = weights.select(*on, "n").where(F.col("n") > HOT_ROWS)
+    hot = heavy.orderBy(F.desc("n")).limit(HOT_KEYS).collect()
+    if not hot:
+        return facts.join(dim, on, how)
+    marks = [(*r[:-1], -(-r["n"] // HOT_ROWS)) for r in hot]
+    fields = [*heavy.schema.fields[:-1], T.StructField("_pieces", T.LongType())]
+    known = facts.sparkSession.createDataFrame(marks, T.StructType(fields))
+    pieces = F.coalesce("_pieces", F.lit(1))
+    salted = _with_pieces(facts, known, on).withColumn("_salt", F.pmod(F.xxhash64(*spread), pieces))
+    repeated = _with_pieces(dim, known, on).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1)))
+    return salted.drop("_pieces").join(repeated.drop("_pieces"), [*on, "_salt"], how).drop("_salt")
+
+
+def _with_pieces(df: DataFrame, known: DataFrame, on: list[str]) -> DataFrame:
+    """Attach the piece count of hot keys; at most HOT_KEYS rows are broadcast."""
+    named = known.select(*[F.col(c).alias(f"_hot_{c}") for c in on], "_pieces")
+    same = [F.col(c).eqNullSafe(F.col(f"_hot_{c}")) for c in on]
+    return df.join(F.broadcast(named), same, "left").select(*df.columns, "_pieces")
+
+
+def summary_join(facts: DataFrame, summary: DataFrame, on: list[str], spread: list[str]) -> DataFrame:
+    """Inner join with a per-key summary of the facts themselves.
+
+    ``summary`` holds ``on``, the fact rows per key ``n`` (not returned) and the
+    values to attach. It is worked out once and written to the shared folder;
+    then its real size decides between a broadcast and a split-up join.
+    """
+    ready = cut_lineage(summary)
+    text = sum((F.length(F.col(c).cast("string")) for c in on), F.lit(0))
+    size = ready.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(text), F.lit(0)).alias("chars")).first()
+    if size["rows"] <= SMALL_ROWS and size["chars"] <= SMALL_BYTES:
+        return facts.join(F.broadcast(ready.drop("n")), on)
+    return skew_join(facts, ready.drop("n"), on, "inner", spread, ready.select(*on, "n"))

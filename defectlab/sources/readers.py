@@ -19,6 +19,7 @@ __all__ = [
     "read_project_commits",
     "read_projects",
     "read_scripts",
+    "read_texts",
     "read_worklist",
 ]
 
@@ -34,6 +35,17 @@ DATASETS = [(0, "Mozilla"), (1, "Openstack"), (2, "Wikimedia")]
 PAGES_PER_BLOCK = 10_000
 
 
+def read_texts(spark: SparkSession, path: str) -> DataFrame:
+    """A parquet table for work that is heavy per row.
+
+    A scan with fewer splits than cores can only come from a small table, and
+    would leave cores idle; its rows are dealt out. Larger tables stay as read.
+    """
+    table = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
 def read_csv_text(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
     """Header CSV with quoted multi-line fields, every column as text."""
     return (
@@ -106,9 +118,9 @@ def missing_pages(landed: DataFrame, listing: list[str] | None = None) -> DataFr
     )
     first = F.col("_block") * PAGES_PER_BLOCK + 1
     last = F.least(F.col("_total").cast("long"), first + (PAGES_PER_BLOCK - 1))
-    wanted = blocks.select(*listing, F.explode(F.sequence(first, last)).cast("int").alias("page"))
-    have = landed.select(*listing, F.col("page").cast("int").alias("page")).distinct()
-    return wanted.join(have, [*listing, "page"], "left_anti")
+    wanted = blocks.select(*listing, F.explode(F.sequence(first, last)).alias("page"))
+    have = landed.select(*listing, F.col("page").cast("long").alias("page")).distinct()
+    return wanted.join(have, [*listing, "page"], "left_anti").withColumn("page", F.col("page").cast("int"))
 
 
 def read_examples(spark: SparkSession, path: str) -> DataFrame:
