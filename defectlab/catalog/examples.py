@@ -61,7 +61,7 @@ carved AS (SELECT doc_id, text, CASE WHEN split = 'test' THEN 'test' WHEN rn <=
 
 
 def _carved(spark, sf, *cols):
-    docs = fx.table(spark, sf, "documents").select("doc_id", *cols)
+    docs = fx.texts(spark, sf).select("doc_id", *cols)
     return ex.carve_validation(ex.holdout(docs, 0.3, 42, "doc_id"), "doc_id")
 
 

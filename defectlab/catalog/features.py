@@ -6,7 +6,7 @@ from defectlab import fixtures as fx
 from defectlab.catalog.registry import POSTINGS, query
 from defectlab.functions.text import terms
 from defectlab.operators import features as ft
-from defectlab.session import scratch_path
+from defectlab.session import cut_lineage, scratch_path
 from defectlab.sources import matrix_long, read_matrix
 
 
@@ -14,6 +14,10 @@ def _postings(spark, sf):
     return ft.postings(fx.texts(spark, sf), "doc_id", "text")
 
 
+def _frequency(spark, sf):
+    return ft.document_frequency(fx.texts(spark, sf), "text")
+
+
 def _rows(spark, sf):
     return fx.table(spark, sf, "documents").agg(F.count(F.lit(1))).scalar()
 
@@ -23,12 +27,12 @@ TOP = "top AS (SELECT term, count(*) AS df FROM postings GROUP BY term ORDER BY
 
 @query("m1_bow", f"WITH {POSTINGS}, {TOP} SELECT doc_id, term, tf FROM postings SEMI JOIN top USING (term)")
 def m1_bow(spark, sf):
-    return ft.bag_of_words(_postings(spark, sf), 1000).select("doc_id", "term", "tf")
+    return ft.bag_of_words(fx.texts(spark, sf), "doc_id", "text", 1000).select("doc_id", "term", "tf")
 
 
 @query("a9_vocabulary", f"WITH {POSTINGS}, {TOP} SELECT term, df FROM top")
 def a9_vocabulary(spark, sf):
-    return ft.vocabulary(_postings(spark, sf), 1000)
+    return ft.vocabulary(_frequency(spark, sf), 1000)
 
 
 @query(
@@ -38,7 +42,7 @@ def a9_vocabulary(spark, sf):
     FROM postings JOIN dfs USING (term)""",
 )
 def m2_tfidf(spark, sf):
-    weighted = ft.tf_idf(_postings(spark, sf), _rows(spark, sf))
+    weighted = ft.tf_idf(_postings(spark, sf), _frequency(spark, sf), _rows(spark, sf))
     return weighted.select("doc_id", "term", "tf", F.round("weight", 6).alias("weight"))
 
 
@@ -53,7 +57,8 @@ stats AS (SELECT term, sum(tf) / any_value(n) AS mu,
     FROM postings JOIN stats USING (term)""",
 )
 def m3_scale(spark, sf):
-    return ft.scale(_postings(spark, sf), _rows(spark, sf)).select("doc_id", "term", F.round("z", 6).alias("z"))
+    posts = cut_lineage(_postings(spark, sf))  # read twice: for the statistics and for the cells
+    return ft.scale(posts, _rows(spark, sf)).select("doc_id", "term", F.round("z", 6).alias("z"))
 
 
 @query(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from defectlab.functions.text import clean_text, non_blank
 from defectlab.operators.changes import label_pairs
 from defectlab.plans.ranks import hash_holdout, hash_rank, ordered_rank
-from defectlab.plans.skew import skew_join
+from defectlab.plans.skew import group_join
 
 
 def clean_pairs(pairs: DataFrame) -> DataFrame:
@@ -71,11 +71,11 @@ def assign_folds(df: DataFrame, k: int, key: str, label: str = "label", seed: in
     if seed is not None:
         ranked = hash_rank(df, key, seed, [label], "_rank")
         return ranked.withColumn("fold", F.pmod(F.col("_rank") - 1, F.lit(k)).cast("int")).drop("_rank")
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    ranked = ordered_rank(df, key, [label], "_rank")
-    sized = skew_join(ranked, sizes.withColumnRenamed("n", "_n"), [label], "inner", [key], weights=sizes)
+    count = F.count(F.lit(1))
+    sizes = df.groupBy(label).agg(count.alias("n"), count.alias("_n"))
+    sized = group_join(ordered_rank(df, key, [label], "_rank"), sizes, [label], [key])
     fold = F.floor((F.col("_rank") - 1) * k / F.col("_n")).cast("int")
-    return sized.withColumn("fold", fold).drop("_rank", "_n")
+    return sized.withColumn("fold", fold).select(*df.columns, "fold")
 
 
 def nested_splits(folds: DataFrame, k: int, key: str, p: float = 0.2, seed: int = 42) -> DataFrame:

@@ -57,43 +57,44 @@ def stemmed(df: DataFrame, text: str, name: str = "stemmed") -> DataFrame:
     return df.withColumn(name, stem_text(collapse_blanks(F.col(text))))
 
 
+def document_frequency(df: DataFrame, text: str) -> DataFrame:
+    """(term, df). Each text lists a term once, so only per-term counts are shuffled."""
+    once = df.select(F.explode(F.array_distinct(terms(F.col(text)))).alias("term"))
+    return once.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
+def vocabulary(frequency: DataFrame, k: int, min_df: int = 1) -> DataFrame:
+    """The k terms found in most rows; ties by term."""
+    return frequency.where(F.col("df") >= min_df).orderBy(F.desc("df"), "term").limit(k)
+
+
 def postings(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, term, tf). A text is one row, so counting ends before the shuffle."""
-    return df.select(key, F.explode(terms(F.col(text))).alias("term")).groupBy(key, "term").agg(
-        F.count(F.lit(1)).alias("tf")
-    )
+    return _counted(df.select(key, F.explode(terms(F.col(text))).alias("term")), key)
 
 
-def document_frequency(posts: DataFrame) -> DataFrame:
-    return posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+def _counted(tokens: DataFrame, key: str) -> DataFrame:
+    return tokens.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def vocabulary(posts: DataFrame, k: int, min_df: int = 1) -> DataFrame:
-    """The k terms found in most rows; ties by term."""
-    kept = document_frequency(posts).where(F.col("df") >= min_df)
-    return kept.orderBy(F.desc("df"), "term").limit(k)
-
-
-def bag_of_words(posts: DataFrame, vocab_size: int | None = None, min_df: int = 1) -> DataFrame:
-    """Term counts, restricted to the ``vocab_size`` most common terms if given."""
-    if vocab_size is None:
-        if min_df <= 1:
-            return posts
-        kept = document_frequency(posts).where(F.col("df") >= min_df)
-        return summary_join(posts, kept.withColumnRenamed("df", "n"), ["term"], _spread(posts))
-    chosen = vocabulary(posts, vocab_size, min_df).select("term")
+def bag_of_words(df: DataFrame, key: str, text: str, vocab_size: int = MAX_VOCABULARY, min_df: int = 1) -> DataFrame:
+    """Term counts over the ``vocab_size`` most common terms.
+
+    Other tokens are dropped before anything is counted or shuffled.
+    """
+    chosen = vocabulary(document_frequency(df, text), vocab_size, min_df).select("term")
+    tokens = df.select(key, F.explode(terms(F.col(text))).alias("term"))
     if vocab_size <= MAX_VOCABULARY:
-        chosen = F.broadcast(chosen)
-        return posts.join(chosen, "term", "left_semi")
-    return skew_join(posts, chosen, ["term"], "left_semi", _spread(posts))
+        return _counted(tokens.join(F.broadcast(chosen), "term", "left_semi"), key)
+    return skew_join(_counted(tokens, key), chosen, ["term"], "left_semi", [key])
 
 
-def tf_idf(posts: DataFrame, rows: Column | int) -> DataFrame:
+def tf_idf(posts: DataFrame, frequency: DataFrame, rows: Column | int) -> DataFrame:
     """Adds ``weight`` = tf * ln((rows + 1) / (df + 1))."""
     total = rows if isinstance(rows, Column) else F.lit(rows)
     idf = F.log((total + 1) / (F.col("df") + 1))
-    counts = document_frequency(posts).select("term", F.col("df").alias("n"), idf.alias("_idf"))
-    joined = summary_join(posts, counts, ["term"], _spread(posts))
+    summary = frequency.select("term", F.col("df").alias("n"), idf.alias("_idf"))
+    joined = summary_join(posts, summary, ["term"], _spread(posts))
     return joined.withColumn("weight", F.col("tf") * F.col("_idf")).drop("_idf")
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from defectlab.plans.ranks import running, spread_buckets
+from defectlab.plans.ranks import bucket_of, running, spread_buckets
 
 
 def align(predictions: DataFrame, labels: DataFrame) -> DataFrame:
@@ -97,7 +97,7 @@ def score_curve(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     """
     by = by or []
     ranged = spread_buckets(df.select(*by, "label", (-F.col("score")).alias("_down")), "_down")
-    counted = ranged.groupBy(*by, "_bucket", "_down").agg(
+    counted = ranged.groupBy(*by, *bucket_of(ranged), "_down").agg(
         F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg")
     )
     curve = running(counted, by, [F.col("_down")], sums={"tp": F.col("pos"), "fp": F.col("neg")})

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from defectlab.functions.text import terms
 from defectlab.plans.skew import bounded_rows, skew_join
@@ -27,22 +30,27 @@ def title_matches(df: DataFrame, title: str = "title", keywords: Sequence[str] =
     return df.where(F.arrays_overlap(terms(F.col(title)), wanted))
 
 
-def dot(a: Column, b: Column) -> Column:
-    """Inner product in double precision."""
-    products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
-    return F.aggregate(products, F.lit(0.0), lambda s, x: s + x)
-
-
 def similar_tokens(
     vectors: DataFrame,
     keywords: Sequence[Sequence[float]],
     cutoff: float = 0.8,
     tags: Sequence[str] = CONTENT_TAGS,
 ) -> DataFrame:
-    """Tokens of the given tags whose unit vector is close to any keyword's."""
-    table = F.array(*[F.array(*[F.lit(float(x)) for x in k]) for k in keywords])
-    close = F.exists(table, lambda k: dot(F.col("vector"), k) >= cutoff)
-    return vectors.where(F.col("pos").isin(*tags)).where(close).select("token").distinct()
+    """Tokens of the given tags whose unit vector is close to any keyword's.
+
+    All inner products of an Arrow batch are one matrix product.
+    """
+    table = np.asarray(keywords, dtype="float64").T
+
+    @F.pandas_udf(T.BooleanType())
+    def close(batch: pd.Series) -> pd.Series:
+        if batch.empty:
+            return pd.Series([], dtype=bool)
+        found = np.stack(batch.to_numpy()).astype("float64") @ table
+        return pd.Series(found.max(axis=1) >= cutoff)
+
+    tagged = vectors.where(F.col("pos").isin(*tags) & F.col("vector").isNotNull())
+    return tagged.where(close("vector")).select("token").distinct()
 
 
 def semantic_matches(

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from defectlab.plans.ranks import running, spread_buckets
-from defectlab.plans.skew import bounded_rows, skew_join
+from defectlab.plans.ranks import bucket_of, running, spread_buckets
+from defectlab.plans.skew import bounded_rows, group_join
 from defectlab.session import cut_lineage
 from defectlab.sources.writers import METRICS
 
@@ -20,11 +20,13 @@ def median(values: DataFrame, by: list[str], value: str) -> DataFrame:
     no group's values are gathered in one place.
     """
     keyed = values.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
-    counted = spread_buckets(keyed, "_v").groupBy(*by, "_bucket", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    ranged = spread_buckets(keyed, "_v")
+    counted = ranged.groupBy(*by, *bucket_of(ranged), "_v").agg(F.count(F.lit(1)).alias("_n"))
     placed = running(counted, by, [F.col("_v")], sums={"_upto": F.col("_n")})
-    sizes = keyed.groupBy(*by).agg(F.count(F.lit(1)).alias("_size"))
+    count = F.count(F.lit(1))
+    sizes = keyed.groupBy(*by).agg(count.alias("n"), count.alias("_size"))
     low, high = F.expr("(_size + 1) div 2"), F.expr("_size div 2 + 1")
-    near = skew_join(placed, sizes, by, "inner", ["_v"], sizes.withColumnRenamed("_size", "n"))
+    near = group_join(placed, sizes, by, ["_v"])
     first = F.col("_upto") - F.col("_n") + 1
 
     def covers(place):

@@ -5,4 +5,4 @@ from defectlab.plans.ranks import (  # noqa: F401
     running,
     spread_buckets,
 )
-from defectlab.plans.skew import bounded_rows, skew_join, summary_join  # noqa: F401
+from defectlab.plans.skew import bounded_rows, group_join, skew_join, summary_join  # noqa: F401

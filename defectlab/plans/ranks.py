@@ -14,11 +14,12 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from defectlab.plans.skew import bounded_rows, skew_join
+from defectlab.plans.skew import bounded_rows, summary_join
 
 ROWS_PER_BUCKET = 1_000_000
 MAX_BUCKETS = 8192
 HASH_DIGITS = 3
+BUCKET = "_bucket"
 HISTOGRAM_ROWS = 200_000
 BOUNDARY_ROWS = 500_000
 
@@ -32,19 +33,24 @@ def seeded_hash(seed: int | Column, key: str) -> Column:
 def spread_buckets(df: DataFrame, key: str) -> DataFrame:
     """Add ``_bucket``: ranges of ``key`` holding about equally many rows.
 
-    Small inputs get a single bucket. Otherwise one aggregation, which shuffles
-    no rows, finds the range limits.
+    Small inputs stay as they are and are ranked as one. Otherwise one
+    aggregation, which shuffles no rows, finds the range limits.
     """
     parts = min(MAX_BUCKETS, math.ceil(df.count() / ROWS_PER_BUCKET))
     if parts <= 1:
-        return df.withColumn("_bucket", F.lit(0))
+        return df
     valued = df.withColumn("_value", F.col(key).cast("double"))
     shares = ", ".join(f"{i / parts!r}D" for i in range(1, parts))
     limits = valued.agg(F.expr(f"percentile_approx(_value, array({shares}), {20 * parts})").alias("at")).first()["at"]
     cutter = Bucketizer(
-        splits=[-math.inf, *sorted(set(limits)), math.inf], inputCol="_value", outputCol="_range", handleInvalid="keep"
+        splits=[-math.inf, *sorted(set(limits)), math.inf], inputCol="_value", outputCol=BUCKET, handleInvalid="keep"
     )
-    return cutter.transform(valued).withColumn("_bucket", F.col("_range").cast("int")).drop("_value", "_range")
+    return cutter.transform(valued).drop("_value")
+
+
+def bucket_of(df: DataFrame) -> list[str]:
+    """The bucket column as a grouping key, if there is one."""
+    return [BUCKET] if BUCKET in df.columns else []
 
 
 def running(
@@ -55,41 +61,41 @@ def running(
     maxes: Mapping[str, Column] | None = None,
     max_before: Mapping[str, Column] | None = None,
 ) -> DataFrame:
-    """Running sums and maxima inside ``by`` along ``order``; needs ``_bucket``.
+    """Running sums and maxima inside ``by`` along ``order``.
 
-    ``sums`` and ``maxes`` include the row itself, ``max_before`` does not.
-    ``_bucket`` has to rise with ``order``.
+    ``sums`` and ``maxes`` include the row itself, ``max_before`` does not. Where
+    ``df`` has buckets, they have to rise with ``order``.
     """
     sums, maxes, max_before = dict(sums or {}), dict(maxes or {}), dict(max_before or {})
     values = {**sums, **maxes, **max_before}
+    keys = [*by, *bucket_of(df)]
+    inside = Window.partitionBy(*keys).orderBy(*order)
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    before = inside.rowsBetween(Window.unboundedPreceding, -1)
     keyed = df.select("*", *[c.alias(f"_v_{name}") for name, c in values.items()])
-    keys = [*by, "_bucket"]
+    local = {
+        **{n: F.coalesce(F.sum(f"_v_{n}").over(upto), F.lit(0)) for n in sums},
+        **{n: F.max(f"_v_{n}").over(upto) for n in maxes},
+        **{n: F.max(f"_v_{n}").over(before) for n in max_before},
+    }
+    if keys == by:
+        return keyed.select(*df.columns, *[c.alias(n) for n, c in local.items()])
 
     totals = keyed.groupBy(*keys).agg(
         *[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums],
         *[F.max(f"_v_{n}").alias(f"_t_{n}") for n in (*maxes, *max_before)],
     )
-    earlier = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*by).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         *keys,
         *[F.sum(f"_t_{n}").over(earlier).alias(f"_o_{n}") for n in sums],
         *[F.max(f"_t_{n}").over(earlier).alias(f"_o_{n}") for n in (*maxes, *max_before)],
     )
-
-    inside = Window.partitionBy(*keys).orderBy(*order)
-    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
-    before = inside.rowsBetween(Window.unboundedPreceding, -1)
-    joined = keyed.join(offsets, keys)
-    out = joined.select(
+    return keyed.join(offsets, keys).select(
         *df.columns,
-        *[
-            (F.coalesce(F.col(f"_o_{n}"), F.lit(0)) + F.coalesce(F.sum(f"_v_{n}").over(upto), F.lit(0))).alias(n)
-            for n in sums
-        ],
-        *[_larger(F.col(f"_o_{n}"), F.max(f"_v_{n}").over(upto)).alias(n) for n in maxes],
-        *[_larger(F.col(f"_o_{n}"), F.max(f"_v_{n}").over(before)).alias(n) for n in max_before],
+        *[(F.coalesce(F.col(f"_o_{n}"), F.lit(0)) + local[n]).alias(n) for n in sums],
+        *[_larger(F.col(f"_o_{n}"), local[n]).alias(n) for n in (*maxes, *max_before)],
     )
-    return out
 
 
 def _larger(a: Column, b: Column) -> Column:
@@ -99,20 +105,21 @@ def _larger(a: Column, b: Column) -> Column:
 def ordered_rank(df: DataFrame, key: str, by: list[str] | None = None, name: str = "rank") -> DataFrame:
     """1-based rank by ``key`` inside ``by``."""
     ranked = running(spread_buckets(df, key), by or [], [F.col(key)], sums={name: F.lit(1).cast("long")})
-    return ranked.drop("_bucket")
+    return ranked.drop(BUCKET)
 
 
 def hash_rank(df: DataFrame, key: str, seed: int | Column, by: list[str] | None = None, name: str = "rank") -> DataFrame:
     """1-based rank by the seeded hash of ``key`` inside ``by``.
 
-    The hash digits that name a bucket grow with the row count, so a bucket
-    stays near ROWS_PER_BUCKET rows; offsets are one row per bucket.
+    Buckets are hash prefixes, as many digits as keep one near ROWS_PER_BUCKET
+    rows; offsets are one row per bucket.
     """
-    digits = HASH_DIGITS if df.count() <= ROWS_PER_BUCKET * 16**HASH_DIGITS else HASH_DIGITS + 2
-    hashed = df.withColumn("_hash", seeded_hash(seed, key))
-    placed = hashed.withColumn("_bucket", F.substring("_hash", 1, digits))
+    digits = math.ceil(math.log(max(1, df.count() / ROWS_PER_BUCKET), 16))
+    placed = df.withColumn("_hash", seeded_hash(seed, key))
+    if digits:
+        placed = placed.withColumn(BUCKET, F.substring("_hash", 1, digits))
     ranked = running(placed, by or [], [F.col("_hash"), F.col(key)], sums={name: F.lit(1).cast("long")})
-    return ranked.drop("_bucket", "_hash")
+    return ranked.drop(BUCKET, "_hash")
 
 
 def hash_holdout(
@@ -210,8 +217,8 @@ def _within(hashed, by, prefix, need):
 
 def _ranked_holdout(df, key, fraction, seed, by, name, labels):
     """The same marks by full ranks, for more groups than a summary may hold."""
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    ranked = hash_rank(df, key, seed, by, "_rank")
-    joined = skew_join(ranked, sizes.withColumnRenamed("n", "_n"), by, "inner", [key], weights=sizes)
+    count = F.count(F.lit(1))
+    sizes = df.groupBy(*by).agg(count.alias("n"), count.alias("_n"))
+    joined = summary_join(hash_rank(df, key, seed, by, "_rank"), sizes, by, [key])
     mark = F.when(F.col("_rank") <= F.ceil(F.col("_n") * F.lit(fraction)), labels[0]).otherwise(labels[1])
     return joined.withColumn(name, mark).select(*df.columns, name)

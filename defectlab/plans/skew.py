@@ -16,6 +16,7 @@ HOT_KEYS = 512
 # A summary table is broadcast up to this size, and joined otherwise.
 SMALL_ROWS = 500_000
 SMALL_BYTES = 64 << 20
+FEW_GROUPS = 10_000
 
 
 def bounded_rows(df: DataFrame, most: int) -> list[Row] | None:
@@ -75,3 +76,16 @@ def summary_join(facts: DataFrame, summary: DataFrame, on: list[str], spread: li
     if size["rows"] <= SMALL_ROWS and size["chars"] <= SMALL_BYTES:
         return facts.join(F.broadcast(ready.drop("n")), on)
     return skew_join(facts, ready.drop("n"), on, "inner", spread, ready.select(*on, "n"))
+
+
+def group_join(facts: DataFrame, summary: DataFrame, on: list[str], spread: list[str]) -> DataFrame:
+    """Inner join with a summary per class, fold or model; ``n`` as in summary_join.
+
+    Such groups are few as a rule, so their rows are fetched and broadcast; when
+    there are more than FEW_GROUPS the general way is taken.
+    """
+    rows = bounded_rows(summary, FEW_GROUPS)
+    if rows is None:
+        return summary_join(facts, summary, on, spread)
+    known = facts.sparkSession.createDataFrame(rows, summary.schema)
+    return facts.join(F.broadcast(known.drop("n")), on)
