@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+import sys
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,14 +26,21 @@ STEP_4 = [
     "ism", "ate", "iti", "ous", "ive", "ize",
 ]
 
+KNOWN_WORDS = 1_000_000
+
+
+# Longer suffixes are tried first.
+_PLURALS, _DOUBLES, _ENDINGS = (sorted(r, key=lambda p: -len(p[0])) for r in (STEP_1A, STEP_2, STEP_3))
+_LAST = sorted(STEP_4, key=len, reverse=True)
+
 
 def _marks(word: str) -> str:
     """'v' or 'c' per letter; y is a vowel after a consonant."""
-    out = ""
-    for letter in word:
-        vowel = letter in "aeiou" or (letter == "y" and out[-1:] == "c")
-        out += "v" if vowel else "c"
-    return out
+    shape = re.sub("[aeiou]", "v", re.sub("[^aeiouy]", "c", word))
+    while "y" in shape:
+        at = shape.index("y")
+        shape = shape[:at] + ("v" if shape[at - 1 : at] == "c" else "c") + shape[at + 1 :]
+    return shape
 
 
 def _measure(word: str) -> int:
@@ -48,10 +57,10 @@ def _ends_double(word: str) -> bool:
 
 def _swap(word: str, rules, least: int) -> str:
     """Apply the longest matching suffix rule if its stem is long enough."""
-    for suffix, new in sorted(rules, key=lambda r: -len(r[0])):
+    for suffix, new in rules:
         if word.endswith(suffix):
             stem = word[: -len(suffix)]
-            return stem + new if _measure(stem) >= least else word
+            return stem + new if least == 0 or _measure(stem) >= least else word
     return word
 
 
@@ -70,7 +79,7 @@ def _past_forms(word: str) -> str:
 
 
 def _last_suffix(word: str) -> str:
-    for suffix in sorted(STEP_4, key=len, reverse=True):
+    for suffix in _LAST:
         if word.endswith(suffix):
             stem = word[: -len(suffix)]
             fits = _measure(stem) > 1 and (suffix != "ion" or stem[-1:] in ("s", "t"))
@@ -86,18 +95,27 @@ def _tidy(word: str) -> str:
     return word[:-1] if word.endswith("ll") and _measure(word) > 1 else word
 
 
-@lru_cache(maxsize=1 << 18)
 def stem_word(word: str) -> str:
     """Stem of a lower-case word; words of one or two letters stay."""
     if len(word) < 3:
         return word
-    word = _past_forms(_swap(word, STEP_1A, 0))
+    word = _past_forms(_swap(word, _PLURALS, 0))
     if word.endswith("y") and "v" in _marks(word[:-1]):
         word = word[:-1] + "i"
-    word = _swap(_swap(word, STEP_2, 1), STEP_3, 1)
+    word = _swap(_swap(word, _DOUBLES, 1), _ENDINGS, 1)
     return _tidy(_last_suffix(word))
 
 
+class _Known(dict):
+    """Stems worked out so far in one task, started afresh when there are too many."""
+
+    def __missing__(self, word: str) -> str:
+        if len(self) >= KNOWN_WORDS:
+            self.clear()
+        self[word] = stem = stem_word(word)
+        return stem
+
+
 @F.pandas_udf(T.StringType())
 def stem_token(tokens: pd.Series) -> pd.Series:
     return tokens.map(stem_word, na_action="ignore")
@@ -106,5 +124,10 @@ def stem_token(tokens: pd.Series) -> pd.Series:
 @F.pandas_udf(T.StringType())
 def stem_text(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Stem each blank-separated token; a word is worked out once per task."""
+    known = _Known()
     for batch in texts:
-        yield batch.map(lambda t: " ".join(map(stem_word, t.split(" "))), na_action="ignore")
+        yield batch.map(lambda t: " ".join([known[w] for w in t.split(" ")]), na_action="ignore")
+
+
+# Executors need no copy of this package: what the functions use goes along.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -83,13 +83,17 @@ def unmatched(worklist: DataFrame, commits: DataFrame) -> DataFrame:
 
 
 def change_pairs(files: DataFrame, mode: str = "strict") -> DataFrame:
-    """Add ``deleted_lines`` and ``added_lines``; rows without a patch stay, blank."""
+    """Add ``deleted_lines`` and ``added_lines``; rows without a patch stay, blank.
+
+    The sides are unfolded from a one-element array, so later filters on them
+    use the parsed texts instead of parsing a second time.
+    """
+    kept = [c for c in files.columns if c != "patch"]
     sides = parse_patch(F.col("patch"), mode)
-    return files.withColumn("_sides", sides).select(
-        *[c for c in files.columns if c != "patch"],
-        joined_lines(F.col("_sides.deleted")).alias("deleted_lines"),
-        joined_lines(F.col("_sides.added")).alias("added_lines"),
+    texts = F.struct(
+        joined_lines(sides["deleted"]).alias("deleted_lines"), joined_lines(sides["added"]).alias("added_lines")
     )
+    return files.select(*kept, F.inline(F.array(texts)))
 
 
 def patch_lines(df: DataFrame, keys: list[str], mode: str = "strict") -> DataFrame:
@@ -127,7 +131,8 @@ def project_changes(commits: DataFrame, diffs: DataFrame, projects: DataFrame |
     """
     if projects is not None:
         wanted = projects.select(F.explode("projects.id").alias("project_id")).distinct()
-        commits = skew_join(commits, wanted, ["project_id"], "left_semi", ["commit_id"])
+        sizes = diffs.groupBy("project_id").agg(F.count(F.lit(1)).alias("n"))
+        commits = skew_join(commits, wanted, ["project_id"], "left_semi", ["commit_id"], sizes)
     key = ["project_id", "commit_id"]
     chosen = commits.groupBy(*key).agg(F.min("title").alias("title"))
     files = diffs.where(is_yaml(F.col("new_path")))
