@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from defectlab.plans.ranks import bucket_of, running, spread_buckets
+from defectlab.plans.skew import same_group_join
 
 
 def align(predictions: DataFrame, labels: DataFrame) -> DataFrame:
@@ -171,4 +172,4 @@ def fold_metrics(df: DataFrame, by: tuple[str, ...] = ("fold", "phase")) -> Data
     """All binary and ranking metrics per fold and phase."""
     keys = list(by)
     hard = binary_metrics(df, keys).drop("hard_auc", "mcc")
-    return hard.join(roc_auc(df, keys), keys)
+    return same_group_join(hard, roc_auc(df, keys), keys)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from defectlab.plans.ranks import bucket_of, running, spread_buckets
-from defectlab.plans.skew import bounded_rows, group_join
+from defectlab.plans.skew import bounded_rows, group_join, same_group_join
 from defectlab.session import cut_lineage
 from defectlab.sources.writers import METRICS
 
@@ -44,7 +44,7 @@ def summarize_runs(runs: DataFrame, by: list[str] | None = None, metrics: list[s
     long = runs.unpivot(by, metrics or METRICS, "metric", "value")
     keys = [*by, "metric"]
     basic = long.groupBy(*keys).agg(F.avg("value").alias("mean"), F.max("value").alias("max"), F.min("value").alias("min"))
-    return basic.join(median(long, keys, "value"), keys, "left")
+    return same_group_join(basic, median(long, keys, "value"), keys, "left")
 
 
 def compare(runs: DataFrame, metrics: list[str] | None = None) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from defectlab.plans.skew import bounded_rows, summary_join
+from defectlab.plans.skew import bounded_rows, group_key, same_group_join, summary_join
 
 ROWS_PER_BUCKET = 1_000_000
 MAX_BUCKETS = 8192
@@ -68,6 +68,10 @@ def running(
     """
     sums, maxes, max_before = dict(sums or {}), dict(maxes or {}), dict(max_before or {})
     values = {**sums, **maxes, **max_before}
+    bucketed = BUCKET in df.columns
+    columns = df.columns
+    if bucketed:
+        df, by = df.withColumn("_group", group_key(by) if by else F.lit("")), ["_group"]
     keys = [*by, *bucket_of(df)]
     inside = Window.partitionBy(*keys).orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
@@ -78,8 +82,8 @@ def running(
         **{n: F.max(f"_v_{n}").over(upto) for n in maxes},
         **{n: F.max(f"_v_{n}").over(before) for n in max_before},
     }
-    if keys == by:
-        return keyed.select(*df.columns, *[c.alias(n) for n, c in local.items()])
+    if not bucketed:
+        return keyed.select(*columns, *[c.alias(n) for n, c in local.items()])
 
     totals = keyed.groupBy(*keys).agg(
         *[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums],
@@ -92,7 +96,7 @@ def running(
         *[F.max(f"_t_{n}").over(earlier).alias(f"_o_{n}") for n in (*maxes, *max_before)],
     )
     return keyed.join(offsets, keys).select(
-        *df.columns,
+        *columns,
         *[(F.coalesce(F.col(f"_o_{n}"), F.lit(0)) + local[n]).alias(n) for n in sums],
         *[_larger(F.col(f"_o_{n}"), local[n]).alias(n) for n in (*maxes, *max_before)],
     )
@@ -150,9 +154,8 @@ def hash_holdout(
         return df.withColumn(name, F.when(placed <= cut, labels[0]).otherwise(labels[1]))
     # One row per group, no more than HISTOGRAM_ROWS of them.
     small = df.sparkSession.createDataFrame(cuts, hashed.schema)
-    marks = small.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.struct("_hash", "_key").alias("_cut"))
-    same = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]
-    marked = df.join(F.broadcast(marks), same, "left").withColumn(
+    marks = small.select(*by, F.struct("_hash", "_key").alias("_cut"))
+    marked = same_group_join(df, F.broadcast(marks), by, "left").withColumn(
         name, F.when(placed <= F.col("_cut"), labels[0]).otherwise(labels[1])
     )
     return marked.select(*df.columns, name)
@@ -218,7 +221,8 @@ def _within(hashed, by, prefix, need):
 def _ranked_holdout(df, key, fraction, seed, by, name, labels):
     """The same marks by full ranks, for more groups than a summary may hold."""
     count = F.count(F.lit(1))
-    sizes = df.groupBy(*by).agg(count.alias("n"), count.alias("_n"))
-    joined = summary_join(hash_rank(df, key, seed, by, "_rank"), sizes, by, [key])
+    keyed = df.withColumn("_group", group_key(by))
+    sizes = keyed.groupBy("_group").agg(count.alias("n"), count.alias("_n"))
+    joined = summary_join(hash_rank(keyed, key, seed, ["_group"], "_rank"), sizes, ["_group"], [key])
     mark = F.when(F.col("_rank") <= F.ceil(F.col("_n") * F.lit(fraction)), labels[0]).otherwise(labels[1])
     return joined.withColumn(name, mark).select(*df.columns, name)

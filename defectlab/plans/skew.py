@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,11 +56,21 @@ def skew_join(
     return salted.drop("_pieces").join(repeated.drop("_pieces"), [*on, "_salt"], how).drop("_salt")
 
 
+def same_group_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join in which NULL keys meet, as they do in grouping."""
+    named = right.withColumnsRenamed({c: f"_on_{c}" for c in on})
+    same = [F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in on]
+    return left.join(named, same, how).drop(*[f"_on_{c}" for c in on])
+
+
+def group_key(by: list[str]) -> Column:
+    """One value per group that is never NULL."""
+    return F.to_json(F.struct(*by))
+
+
 def _with_pieces(df: DataFrame, known: DataFrame, on: list[str]) -> DataFrame:
     """Attach the piece count of hot keys; at most HOT_KEYS rows are broadcast."""
-    named = known.select(*[F.col(c).alias(f"_hot_{c}") for c in on], "_pieces")
-    same = [F.col(c).eqNullSafe(F.col(f"_hot_{c}")) for c in on]
-    return df.join(F.broadcast(named), same, "left").select(*df.columns, "_pieces")
+    return same_group_join(df, F.broadcast(known), on, "left")
 
 
 def summary_join(facts: DataFrame, summary: DataFrame, on: list[str], spread: list[str]) -> DataFrame:
@@ -82,10 +92,11 @@ def group_join(facts: DataFrame, summary: DataFrame, on: list[str], spread: list
     """Inner join with a summary per class, fold or model; ``n`` as in summary_join.
 
     Such groups are few as a rule, so their rows are fetched and broadcast; when
-    there are more than FEW_GROUPS the general way is taken.
+    there are more than FEW_GROUPS the general way is taken. NULL is a group.
     """
     rows = bounded_rows(summary, FEW_GROUPS)
-    if rows is None:
-        return summary_join(facts, summary, on, spread)
-    known = facts.sparkSession.createDataFrame(rows, summary.schema)
-    return facts.join(F.broadcast(known.drop("n")), on)
+    if rows is not None:
+        known = facts.sparkSession.createDataFrame(rows, summary.schema)
+        return same_group_join(facts, F.broadcast(known.drop("n")), on)
+    keyed = facts.withColumn("_group", group_key(on))
+    return summary_join(keyed, summary.withColumn("_group", group_key(on)).drop(*on), ["_group"], spread).drop("_group")

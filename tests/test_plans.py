@@ -1,0 +1,188 @@
+"""Balanced joins and ranks against plain ones, with every threshold lowered."""
+
+import contextlib
+import io
+import math
+
+import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from __spark_entry__ import queries
+from defectlab.operators import examples as ex
+from defectlab.operators import features as ft
+from defectlab.plans import ranks, skew
+
+
+@pytest.fixture
+def facts(spark):
+    """A third of the rows share one key, some have none."""
+    key = F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 10 == 1, None).otherwise(F.col("id") % 40)
+    return spark.range(900).select(F.col("id"), key.cast("long").alias("k"))
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_skew_join_equals_join(spark, monkeypatch, facts, how):
+    monkeypatch.setattr(skew, "HOT_ROWS", 20)
+    dim = spark.range(5, 30).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    plain = facts.join(dim, ["k"], how)
+    salted = skew.skew_join(facts, dim, ["k"], how, ["id"])
+    assert sorted(map(repr, salted.select(plain.columns).collect())) == sorted(map(repr, plain.collect()))
+
+
+def test_skew_join_splits_the_hot_key(spark, monkeypatch, facts):
+    monkeypatch.setattr(skew, "HOT_ROWS", 20)
+    dim = spark.range(5, 30).select(F.col("id").alias("k"), F.lit(1).alias("v"))
+    text = plan(skew.skew_join(facts, dim, ["k"], "inner", ["id"]))
+    assert "_salt" in text
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_summary_and_group_join(spark, monkeypatch, few):
+    monkeypatch.setattr(skew, "HOT_ROWS", 20)
+    if not few:
+        monkeypatch.setattr(skew, "SMALL_ROWS", 2)
+        monkeypatch.setattr(skew, "FEW_GROUPS", 2)
+    cells = spark.range(400).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id") % 9).alias("term"))
+    stats = cells.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("top"))
+    plain = cells.join(stats.drop("n"), "term")
+    for join in (skew.summary_join, skew.group_join):
+        made = join(cells, stats, ["term"], ["doc_id"])
+        assert sorted(made.select(plain.columns).collect()) == sorted(plain.collect())
+
+
+def labelled(spark, n=500):
+    return spark.range(n).select("id", F.when(F.col("id") % 7 == 0, 1).otherwise(0).alias("label"))
+
+
+def plain_holdout(df, p, seed, by):
+    w = Window.partitionBy(*by)
+    rank = F.row_number().over(w.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))), "id"))
+    held = df.withColumn("rn", rank).withColumn("n", F.count(F.lit(1)).over(w))
+    return {r.id for r in held.collect() if r.rn <= math.ceil(r.n * p)}
+
+
+@pytest.mark.parametrize("by", [[], ["label"]])
+@pytest.mark.parametrize(("histogram", "boundary"), [(200_000, 500_000), (200_000, 0), (1, 0)])
+def test_holdout_equals_full_sort(spark, monkeypatch, by, histogram, boundary):
+    if histogram == 1 and not by:
+        pytest.skip("one group never has too many prefixes")
+    monkeypatch.setattr(ranks, "HISTOGRAM_ROWS", histogram)
+    monkeypatch.setattr(ranks, "BOUNDARY_ROWS", boundary)
+    df = labelled(spark)
+    made = ex.holdout(df, 0.3, 42, "id", by)
+    assert made.count() == 500
+    assert {r.id for r in made.where("split = 'test'").collect()} == plain_holdout(df, 0.3, 42, by)
+
+
+def test_holdout_narrows_shared_prefixes(spark, monkeypatch):
+    """More rows than hash prefixes, so one histogram cannot settle the cut."""
+    monkeypatch.setattr(ranks, "HASH_DIGITS", 1)
+    monkeypatch.setattr(ranks, "BOUNDARY_ROWS", 3)
+    df = labelled(spark, 2000)
+    assert {r.id for r in ex.holdout(df, 0.2, 1, "id").where("split = 'test'").collect()} == plain_holdout(df, 0.2, 1, [])
+
+
+def test_holdout_sizes(spark):
+    for n, p, held in ((10, 0.25, 3), (10, 0.0, 0), (10, 1.0, 10), (1, 0.1, 1), (0, 0.5, 0)):
+        made = ex.holdout(spark.range(n), p, 5, "id")
+        assert (made.where("split = 'test'").count(), made.count()) == (held, n)
+
+
+@pytest.mark.parametrize("histogram", [200_000, 1])
+def test_null_groups_are_kept(spark, monkeypatch, histogram):
+    monkeypatch.setattr(ranks, "HISTOGRAM_ROWS", histogram)
+    df = spark.createDataFrame([(i, None if i < 10 else 1) for i in range(30)], "id long, label int")
+    made = ex.holdout(df, 0.5, 3, "id", ["label"])
+    assert {(r.label, r.split): r.n for r in made.groupBy("label", "split").agg(F.count("*").alias("n")).collect()} == {
+        (None, "test"): 5, (None, "train"): 5, (1, "test"): 10, (1, "train"): 10,
+    }
+
+
+@pytest.mark.parametrize("per_bucket", [1_000_000, 30])
+@pytest.mark.parametrize("seed", [None, 8])
+def test_folds(spark, monkeypatch, seed, per_bucket):
+    df = labelled(spark)
+    base = {r.id: r.fold for r in ex.assign_folds(df, 10, "id", seed=seed).collect()}
+    monkeypatch.setattr(ranks, "ROWS_PER_BUCKET", per_bucket)
+    rows = ex.assign_folds(df, 10, "id", seed=seed).collect()
+    assert {r.id: r.fold for r in rows} == base
+    for label in (0, 1):
+        sizes = [sum(1 for r in rows if r.label == label and r.fold == f) for f in range(10)]
+        assert max(sizes) - min(sizes) <= 1
+
+
+@pytest.mark.parametrize("per_bucket", [1_000_000, 4])
+@pytest.mark.parametrize("groups", [10_000, 0])
+@pytest.mark.parametrize("seed", [None, 8])
+def test_folds_of_unlabelled_rows(spark, monkeypatch, seed, groups, per_bucket):
+    monkeypatch.setattr(ranks, "ROWS_PER_BUCKET", per_bucket)
+    monkeypatch.setattr(skew, "FEW_GROUPS", groups)
+    df = spark.createDataFrame([(i, None if i < 10 else 1) for i in range(30)], "id long, label int")
+    rows = ex.assign_folds(df, 2, "id", seed=seed).collect()
+    assert sorted(r.id for r in rows) == list(range(30))
+    assert sum(r.fold == 0 for r in rows if r.label is None) == 5
+
+
+def test_nested_splits(spark):
+    folds = ex.assign_folds(labelled(spark, 200), 4, "id", seed=42)
+    own = {r.id: r.fold for r in folds.collect()}
+    rows = ex.nested_splits(folds, 4, "id").collect()
+    assert len(rows) == 800
+    for fold in range(4):
+        phases = {r.id: r.phase for r in rows if r.fold == fold}
+        assert {i for i, p in phases.items() if p == "test"} == {i for i, f in own.items() if f == fold}
+        rest = [p for p in phases.values() if p != "test"]
+        assert rest.count("valid") == math.ceil(len(rest) * 0.2)
+
+
+def test_validation_is_disjoint(spark):
+    made = ex.carve_validation(ex.holdout(labelled(spark, 100), 0.3, 42, "id"), "id")
+    assert {r.split: r.n for r in made.groupBy("split").agg(F.count("*").alias("n")).collect()} == {
+        "test": 30, "valid": 14, "train": 56,
+    }
+
+
+def test_constant_feature_scales_to_zero(spark):
+    cells = spark.createDataFrame([(i, "a", 3) for i in range(4)] + [(0, "b", 1)], "doc_id long, term string, tf long")
+    rows = {(r.doc_id, r.term): r.z for r in ft.scale(cells, 4).collect()}
+    assert all(rows[i, "a"] == 0 for i in range(4))
+    assert rows[0, "b"] == pytest.approx((1 - 0.25) / math.sqrt(0.25 - 0.0625))
+    stats = {r.term: r.z_of_zero for r in ft.scale_stats(cells, 4).collect()}
+    assert stats["b"] == pytest.approx(-0.25 / math.sqrt(0.1875))
+
+
+def test_vocabulary_over_the_bound(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "a a b"), (2, "a c"), (3, "b a")], "doc_id long, text string")
+    expected = sorted(ft.bag_of_words(df, "doc_id", "text", 2).select("doc_id", "term", "tf").collect())
+    assert expected == [(1, "a", 2), (1, "b", 1), (2, "a", 1), (3, "a", 1), (3, "b", 1)]
+    monkeypatch.setattr(ft, "MAX_VOCABULARY", 1)
+    assert sorted(ft.bag_of_words(df, "doc_id", "text", 2).select("doc_id", "term", "tf").collect()) == expected
+    kept = ft.bag_of_words(df, "doc_id", "text", 10, min_df=3)
+    assert {r.term for r in kept.collect()} == {"a"}
+
+
+def plan(df):
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        df.explain("formatted")
+    return out.getvalue()
+
+
+@pytest.mark.parametrize("name", [n for n in sorted(queries()) if not n.startswith(("m4", "m5", "m6", "m7", "m8", "m9"))])
+def test_no_cross_products(spark, small, name):
+    text = plan(queries()[name](spark, small))
+    assert "CartesianProduct" not in text
+    assert "NestedLoop" not in text
+
+
+@pytest.mark.parametrize("name", ["t1_clean", "t8_normalize", "t13_windows", "x1_parse_strict", "x3_hunks", "f7_examples"])
+def test_row_work_is_not_shuffled_by_key(spark, small, name):
+    text = plan(queries()[name](spark, small))
+    assert "hashpartitioning" not in text or name == "t13_windows"
+
+
+def test_split_reads_only_the_key(spark, small):
+    text = plan(queries()["a2_holdout"](spark, small))
+    assert "Exchange" not in text
+    assert "text" not in text.split("ReadSchema")[1].splitlines()[0]
