@@ -18,7 +18,15 @@ from defectlab.functions.diff import joined_lines, parse_patch
 from defectlab.operators import changes as ch
 from defectlab.operators import examples as ex
 from defectlab.operators import relevance as rel
-from defectlab.sources import flatten_dump, missing_pages
+from defectlab.session import scratch_path
+from defectlab.sources import (
+    flatten_dump,
+    missing_pages,
+    read_commits,
+    read_diffs,
+    read_project_commits,
+    read_projects,
+)
 
 
 def _texts(df, keys, *cols):
@@ -54,7 +62,9 @@ def slice_examples_per_source(spark, sf):
     f"WITH {FILES} SELECT repository, commit_id, pos, filepath, md5(patch) AS patch FROM files",
 )
 def s3_explode_files(spark, sf):
-    return _texts(ch.commit_files(fx.commits(spark, sf)), ["repository", "commit_id", "pos", "filepath"], "patch")
+    path = scratch_path(spark, "commits")
+    fx.commits(spark, sf).write.json(path)
+    return _texts(ch.commit_files(read_commits(spark, path)), ["repository", "commit_id", "pos", "filepath"], "patch")
 
 
 @query(
@@ -62,14 +72,25 @@ def s3_explode_files(spark, sf):
     f"""WITH {TURNS} SELECT project_id, commit_id, md5(title) AS title, new_path, md5(diff) AS diff FROM turns""",
 )
 def s4_explode_diffs(spark, sf):
-    nested = fx.project_diffs(spark, sf).select(
-        "project_id", "commit_id", F.array(F.struct("diff", "new_path")).alias("diffs")
-    )
-    files = nested.select("project_id", "commit_id", F.inline("diffs"))
-    joined = files.join(fx.project_commits(spark, sf), ["project_id", "commit_id"])
+    commits, diffs = scratch_path(spark, "project_commits"), scratch_path(spark, "diffs")
+    titles = F.array(F.struct(F.col("commit_id").alias("id"), "title")).alias("commits")
+    fx.project_commits(spark, sf).select("project_id", titles).write.json(commits)
+    changed = F.array(F.struct("diff", "new_path")).alias("diffs")
+    fx.project_diffs(spark, sf).select("project_id", "commit_id", changed).write.json(diffs)
+    joined = read_diffs(spark, diffs).join(read_project_commits(spark, commits), ["project_id", "commit_id"])
     return _texts(joined, ["project_id", "commit_id", "new_path"], "title", "diff")
 
 
+@query(
+    "s4_projects",
+    "SELECT DISTINCT (conv_id + 1)::INTEGER AS page, conv_id AS project_id FROM conversations",
+)
+def s4_projects(spark, sf):
+    path = scratch_path(spark, "projects")
+    fx.project_pages(spark, sf).write.json(path)
+    return read_projects(spark, path).select("page", F.explode("projects.id").alias("project_id"))
+
+
 @query(
     "s5_missing_pages",
     """SELECT listing, page FROM (SELECT DISTINCT l_orderkey AS listing, unnest(range(1, 8))::INTEGER AS page FROM lineitem) w
@@ -98,8 +119,8 @@ def s9_flatten_dump(spark, sf):
         THEN 'missing field' ELSE 'ok' END AS verdict FROM worklist""",
 )
 def f1_validate(spark, sf):
-    good, bad = ch.validate_worklist(fx.worklist(spark, sf))
-    return good.select("wl_id", F.lit("ok").alias("verdict")).unionByName(bad.select("wl_id", F.col("reason").alias("verdict")))
+    marked = ch.mark_worklist(fx.worklist(spark, sf))
+    return marked.select("wl_id", F.coalesce("reason", F.lit("ok")).alias("verdict"))
 
 
 @query(

@@ -19,7 +19,7 @@ def _frequency(spark, sf):
 
 
 def _rows(spark, sf):
-    return fx.table(spark, sf, "documents").agg(F.count(F.lit(1))).scalar()
+    return fx.table(spark, sf, "documents").count()
 
 
 TOP = "top AS (SELECT term, count(*) AS df FROM postings GROUP BY term ORDER BY df DESC, term LIMIT 1000)"

@@ -117,6 +117,23 @@ def k3_runs_csv(spark, sf):
     return back.select(*[F.round(c, 6).alias(c) for c in back.columns])
 
 
+@query(
+    "k3_phase_runs_csv",
+    f"""WITH {PREDICTIONS} SELECT CASE phase WHEN 'validation' THEN 'Cross-Validation' ELSE 'Testing' END AS "Metric",
+      round(avg(score), 6) AS "AUC", round(avg(label), 6) AS "Precision", round(avg(prediction), 6) AS "Recall",
+      round(max(score), 6) AS "F1" FROM predictions GROUP BY fold, phase""",
+)
+def k3_phase_runs_csv(spark, sf):
+    """Per-fold means stand in for the four metrics."""
+    path = scratch_path(spark, "phase_runs")
+    phase = F.when(F.col("phase") == "validation", "Cross-Validation").otherwise("Testing")
+    means = [F.avg("score").alias("auc"), F.avg("label").alias("precision"), F.avg("prediction").alias("recall"), F.max("score").alias("f1")]
+    made = fx.predictions(spark, sf).groupBy(F.col("fold").alias("run"), phase.alias("phase")).agg(*means)
+    write_runs(made, path)
+    back = spark.read.option("header", True).schema("Metric string, AUC double, Precision double, Recall double, F1 double").csv(path)
+    return back.select("Metric", *[F.round(c, 6).alias(c) for c in back.columns[1:]])
+
+
 @query(
     "st1_stream_changes",
     f"""WITH {FILES}, {FIRST} SELECT repository, commit_id, filepath, md5({side_sql('patch', '-')}) AS deleted_lines,

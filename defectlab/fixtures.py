@@ -58,10 +58,11 @@ def patches(spark: SparkSession, folder: str) -> DataFrame:
 
 def commits(spark: SparkSession, folder: str) -> DataFrame:
     """A commit per document: its file, one without a patch, and the first name again."""
-    docs = texts(spark, folder)
+    made = F.inline(F.array(F.struct(patch_of(F.col("text")).alias("patch"))))
+    docs = texts(spark, folder).select("doc_id", "source", made)
     path = path_of("doc_id")
     files = F.array(
-        F.struct(path.alias("filename"), patch_of(F.col("text")).alias("patch")),
+        F.struct(path.alias("filename"), F.col("patch").alias("patch")),
         F.struct(F.lit("README.md").alias("filename"), F.lit(None).cast("string").alias("patch")),
         F.struct(path.alias("filename"), F.lit("@@ -1 +1 @@\n-again").alias("patch")),
     )

@@ -155,17 +155,18 @@ def class_report(df: DataFrame) -> DataFrame:
     )
     scores = ("precision", "recall", "f1")
     support = F.sum("support")
-    share = (F.sum("tp") / support).cast("double")
-    rows = {
-        "accuracy": [share.alias(m) for m in scores],
-        "macro avg": [F.avg(m).alias(m) for m in scores],
-        "weighted avg": [(F.sum(F.col(m) * F.col("support")) / support).alias(m) for m in scores],
+    share = F.sum("tp") / support
+    means = {
+        "accuracy": [share for _ in scores],
+        "macro avg": [F.avg(m) for m in scores],
+        "weighted avg": [F.sum(F.col(m) * F.col("support")) / support for m in scores],
     }
-    report = per_class.drop("tp")
-    for name, made in rows.items():
-        mean = per_class.agg(*made, support.alias("support")).withColumn("class", F.lit(name))
-        report = report.unionByName(mean)
-    return report
+    rows = [
+        F.struct(F.lit(name).alias("class"), *[v.alias(m) for v, m in zip(made, scores)], support.alias("support"))
+        for name, made in means.items()
+    ]
+    summary = per_class.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
+    return per_class.drop("tp").unionByName(summary)
 
 
 def fold_metrics(df: DataFrame, by: tuple[str, ...] = ("fold", "phase")) -> DataFrame:

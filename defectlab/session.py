@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+TARGET_BYTES = 256 << 20
+MOST_PARTITIONS = 100_000
 _local_dirs: dict[str, str] = {}
 
 
@@ -46,9 +49,25 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably, so iterative jobs neither recompute nor lose it."""
+def cut_lineage(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
+    """Write ``df`` to the shared folder and go on from there.
+
+    Iterative jobs then neither recompute it nor lose it with an executor.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, "table")
-    df.write.parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def tune(spark: SparkSession, total_bytes: int) -> None:
+    """Shuffle settings for an input of the given size.
+
+    Shuffles start with pieces of about TARGET_BYTES, which adaptive execution
+    then merges where a stage turns out smaller.
+    """
+    pieces = min(MOST_PARTITIONS, max(spark.sparkContext.defaultParallelism, total_bytes // TARGET_BYTES))
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    spark.conf.set("spark.sql.shuffle.partitions", str(pieces))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(TARGET_BYTES))

@@ -52,8 +52,17 @@ def write_examples(df: DataFrame, path: str) -> None:
 
 
 def write_runs(df: DataFrame, path: str) -> None:
-    """Metric rows in run order under ``AUC,PRECISION,RECALL,F1``."""
-    ordered = df.orderBy("run").select(*[F.col(m).alias(m.upper()) for m in METRICS])
+    """Metric rows in run order under ``AUC,PRECISION,RECALL,F1``.
+
+    Runs with a ``phase`` give one row per phase under
+    ``Metric,AUC,Precision,Recall,F1``, Cross-Validation before Testing.
+    """
+    if "phase" in df.columns:
+        heads = dict(zip(METRICS, ("AUC", "Precision", "Recall", "F1")))
+        named = [F.col("phase").alias("Metric"), *[F.col(m).alias(h) for m, h in heads.items()]]
+        ordered = df.orderBy("run", "phase").select(*named)
+    else:
+        ordered = df.orderBy("run").select(*[F.col(m).alias(m.upper()) for m in METRICS])
     ordered.write.mode("overwrite").option("header", True).csv(path)
 
 
