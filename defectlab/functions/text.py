@@ -70,12 +70,12 @@ def normalize_script(text: Column, strip_punct: bool = False) -> Column:
 
 def words(text: Column) -> Column:
     """Blank-separated tokens; none for blank text."""
-    return F.filter(F.split(collapse_blanks(text), " "), lambda t: t != "")
+    return F.array_remove(F.split(collapse_blanks(text), " "), "")
 
 
 def terms(text: Column) -> Column:
     """Lower-case runs of letters, digits and underscores."""
-    return F.filter(F.split(F.lower(text), NON_WORD), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(text), NON_WORD), "")
 
 
 def word_count(text: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from defectlab.functions.stem import stem_text, stem_token
-from defectlab.functions.text import collapse_blanks, terms, words
+from defectlab.functions.text import collapse_blanks, terms, word_count
 from defectlab.plans.skew import skew_join, summary_join
 
 MAX_VOCABULARY = 1 << 18
@@ -18,7 +18,7 @@ MAX_VOCABULARY = 1 << 18
 
 def token_stats(df: DataFrame, text: str) -> DataFrame:
     """Longest and total token count over all rows."""
-    counts = df.select(F.size(words(F.col(text))).alias("n"))
+    counts = df.select(word_count(F.col(text)).alias("n"))
     return counts.agg(
         F.max("n").alias("max_tokens"), F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("rows")
     )

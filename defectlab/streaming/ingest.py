@@ -30,7 +30,8 @@ def stream_changes(
     commit is written once: repeats inside the batch are merged per task before
     the shuffle, files of earlier batches are left out by an anti-join that
     reads the three key columns of ``out`` only. With ``worklist``, only files
-    it names are kept.
+    it names are kept. ``out`` and ``checkpoint`` belong together: drop both or
+    neither.
     """
 
     def land(payloads: DataFrame, batch: int) -> None:
