@@ -6,7 +6,7 @@ from defectlab import fixtures as fx
 from defectlab.catalog.registry import POSTINGS, query
 from defectlab.functions.text import terms
 from defectlab.operators import features as ft
-from defectlab.session import cut_lineage, scratch_path
+from defectlab.session import scratch_path
 from defectlab.sources import matrix_long, read_matrix
 
 
@@ -30,6 +30,11 @@ def m1_bow(spark, sf):
     return ft.bag_of_words(fx.texts(spark, sf), "doc_id", "text", 1000).select("doc_id", "term", "tf")
 
 
+@query("m1_postings", f"WITH {POSTINGS} SELECT doc_id, term, tf FROM postings")
+def m1_postings(spark, sf):
+    return _postings(spark, sf)
+
+
 @query("a9_vocabulary", f"WITH {POSTINGS}, {TOP} SELECT term, df FROM top")
 def a9_vocabulary(spark, sf):
     return ft.vocabulary(_frequency(spark, sf), 1000)
@@ -57,8 +62,7 @@ stats AS (SELECT term, sum(tf) / any_value(n) AS mu,
     FROM postings JOIN stats USING (term)""",
 )
 def m3_scale(spark, sf):
-    posts = cut_lineage(_postings(spark, sf))  # read twice: for the statistics and for the cells
-    return ft.scale(posts, _rows(spark, sf)).select("doc_id", "term", F.round("z", 6).alias("z"))
+    return ft.scale(_postings(spark, sf), _rows(spark, sf)).select("doc_id", "term", F.round("z", 6).alias("z"))
 
 
 @query(

@@ -11,6 +11,7 @@ CONTROLS = r"[\x00-\x1f\x7f]"
 NON_WORD = r"[^\p{L}\p{N}_]+"
 SHORT_WORD = r"(?<![\p{L}\p{N}_])[\p{L}\p{N}_]{1,2}(?![\p{L}\p{N}_])"
 BEYOND_LATIN1 = r"[^\x00-\xff]"
+EQUAL_TERMS = r" ([^ ]++)(?: \1(?= |$))*+"
 PUNCTUATION = r"[!-/:-@\[-`{-~]"
 
 
@@ -78,6 +79,16 @@ def terms(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), NON_WORD), "")
 
 
+def term_runs(text: Column) -> Column:
+    """The terms in order, equal ones joined: ``[" a a", " b"]`` for "a b a".
+
+    One string per distinct term, so term counts need neither a grouping nor a
+    shuffle. Terms hold no blanks, and the pattern never steps back.
+    """
+    ordered = F.concat(F.lit(" "), F.array_join(F.sort_array(terms(text)), " "))
+    return F.regexp_extract_all(ordered, F.lit(EQUAL_TERMS), F.lit(0))
+
+
 def word_count(text: Column) -> Column:
     collapsed = collapse_blanks(text)
     return F.when(collapsed == "", 0).otherwise(F.size(F.split(collapsed, " ")))

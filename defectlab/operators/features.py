@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from defectlab.functions.stem import stem_text, stem_token
-from defectlab.functions.text import collapse_blanks, terms, word_count
+from defectlab.functions.text import collapse_blanks, term_runs, terms, word_count
 from defectlab.plans.skew import skew_join, summary_join
 
 MAX_VOCABULARY = 1 << 18
@@ -69,24 +69,19 @@ def vocabulary(frequency: DataFrame, k: int, min_df: int = 1) -> DataFrame:
 
 
 def postings(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, tf). A text is one row, so counting ends before the shuffle."""
-    return _counted(df.select(key, F.explode(terms(F.col(text))).alias("term")), key)
-
-
-def _counted(tokens: DataFrame, key: str) -> DataFrame:
-    return tokens.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(key, term, tf); ``key`` names a row. Counted inside the row, nothing is shuffled."""
+    runs = df.select(key, F.explode(term_runs(F.col(text))).alias("_run"))
+    named = runs.withColumn("term", F.substring_index(F.substring("_run", 2, 2**31 - 1), " ", 1))
+    return named.select(key, "term", F.expr("length(_run) div (length(term) + 1)").alias("tf"))
 
 
 def bag_of_words(df: DataFrame, key: str, text: str, vocab_size: int = MAX_VOCABULARY, min_df: int = 1) -> DataFrame:
-    """Term counts over the ``vocab_size`` most common terms.
-
-    Other tokens are dropped before anything is counted or shuffled.
-    """
+    """Term counts over the ``vocab_size`` most common terms."""
     chosen = vocabulary(document_frequency(df, text), vocab_size, min_df).select("term")
-    tokens = df.select(key, F.explode(terms(F.col(text))).alias("term"))
+    posts = postings(df, key, text)
     if vocab_size <= MAX_VOCABULARY:
-        return _counted(tokens.join(F.broadcast(chosen), "term", "left_semi"), key)
-    return skew_join(_counted(tokens, key), chosen, ["term"], "left_semi", [key])
+        return posts.join(F.broadcast(chosen), "term", "left_semi")
+    return skew_join(posts, chosen, ["term"], "left_semi", [key])
 
 
 def tf_idf(posts: DataFrame, frequency: DataFrame, rows: Column | int) -> DataFrame:

@@ -18,6 +18,7 @@ from defectlab.plans.skew import bounded_rows, group_key, same_group_join, summa
 
 ROWS_PER_BUCKET = 1_000_000
 MAX_BUCKETS = 8192
+SAMPLES_PER_BUCKET = 200
 HASH_DIGITS = 3
 BUCKET = "_bucket"
 HISTOGRAM_ROWS = 200_000
@@ -33,17 +34,20 @@ def seeded_hash(seed: int | Column, key: str) -> Column:
 def spread_buckets(df: DataFrame, key: str) -> DataFrame:
     """Add ``_bucket``: ranges of ``key`` holding about equally many rows.
 
-    Small inputs stay as they are and are ranked as one. Otherwise one
-    aggregation, which shuffles no rows, finds the range limits.
+    Small inputs stay as they are and are ranked as one. For others the range
+    limits come from a sample of bounded size: they only steer how even the
+    buckets are, every row gets its place whatever they are.
     """
-    parts = min(MAX_BUCKETS, math.ceil(df.count() / ROWS_PER_BUCKET))
+    rows = df.count()
+    parts = min(MAX_BUCKETS, math.ceil(rows / ROWS_PER_BUCKET))
     if parts <= 1:
         return df
     valued = df.withColumn("_value", F.col(key).cast("double"))
     shares = ", ".join(f"{i / parts!r}D" for i in range(1, parts))
-    limits = valued.agg(F.expr(f"percentile_approx(_value, array({shares}), {20 * parts})").alias("at")).first()["at"]
+    drawn = valued.select("_value").sample(min(1.0, SAMPLES_PER_BUCKET * parts / rows), seed=1)
+    limits = drawn.agg(F.expr(f"percentile_approx(_value, array({shares}), {20 * parts})").alias("at")).first()["at"]
     cutter = Bucketizer(
-        splits=[-math.inf, *sorted(set(limits)), math.inf], inputCol="_value", outputCol=BUCKET, handleInvalid="keep"
+        splits=[-math.inf, *sorted(set(limits or [])), math.inf], inputCol="_value", outputCol=BUCKET, handleInvalid="keep"
     )
     return cutter.transform(valued).drop("_value")
 

@@ -3,6 +3,8 @@
     python tests/compare.py [folder] [query ...]
 """
 
+import contextlib
+import io
 import sys
 import time
 
@@ -47,6 +49,13 @@ def difference(df, con, sql):
     return f"types {wrong}" if wrong else None
 
 
+def plan(df):
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        df.explain("formatted")
+    return out.getvalue()
+
+
 def main():
     folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     made, sql = queries(), oracle_sql()
