@@ -5,14 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from defectlab.functions.text import clean_text, non_blank
+from defectlab.functions.stem import stem_text
+from defectlab.functions.text import clean_text, non_blank, normalize_script, strip_comments
 from defectlab.operators.changes import label_pairs
 from defectlab.plans.ranks import hash_holdout, hash_rank, ordered_rank
 from defectlab.plans.skew import group_join
 
 
+def preprocess_scripts(df: DataFrame, stem: bool = True, strip_punct: bool = False, comments: bool = True) -> DataFrame:
+    """Script contents normalised and stemmed; rows without content are dropped.
+
+    ``comments=False`` removes comments first.
+    """
+    content = F.col("content") if comments else strip_comments(F.col("content"))
+    cleaned = drop_null(df, ["content"]).withColumn("content", normalize_script(content, strip_punct))
+    return cleaned.withColumn("content", stem_text("content")) if stem else cleaned
+
+
 def clean_pairs(pairs: DataFrame) -> DataFrame:
-    """Both sides of every pair cleaned, as new columns' values."""
+    """Both sides of every pair cleaned."""
     sides = {c: clean_text(F.col(c)) for c in ("deleted_lines", "added_lines")}
     return pairs.withColumns(sides)
 

@@ -101,7 +101,7 @@ def score_curve(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     counted = ranged.groupBy(*by, *bucket_of(ranged), "_down").agg(
         F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg")
     )
-    curve = running(counted, by, [F.col("_down")], sums={"tp": F.col("pos"), "fp": F.col("neg")})
+    curve = running(counted, by, [F.col("_down").asc_nulls_last()], sums={"tp": F.col("pos"), "fp": F.col("neg")})
     return curve.select(*by, (-F.col("_down")).alias("score"), "pos", "neg", "tp", "fp")
 
 

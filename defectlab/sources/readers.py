@@ -105,14 +105,18 @@ def read_diffs(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def missing_pages(landed: DataFrame, listing: list[str] | None = None) -> DataFrame:
+def missing_pages(landed: DataFrame, listing: list[str] | None = None, items: str | None = None) -> DataFrame:
     """Pages 1..total_pages of each listing that have not landed.
 
-    Expected pages are made in blocks, so a listing of any length never
+    With ``items`` naming the array of a page's entries, a listing ends at its
+    first empty page if that comes earlier. Expected pages are made in blocks, so a listing of any length never
     becomes one array.
     """
     listing = listing or []
-    totals = landed.groupBy(*listing).agg(F.max("total_pages").alias("_total"))
+    last_page = F.max("total_pages")
+    if items:
+        last_page = F.least(last_page, F.min(F.when(F.size(items) == 0, F.col("page"))))
+    totals = landed.groupBy(*listing).agg(last_page.alias("_total"))
     blocks = totals.where("_total > 0").select(
         *listing, "_total", F.explode(F.expr(f"sequence(0, (_total - 1) div {PAGES_PER_BLOCK})")).alias("_block")
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-__all__ = ["METRICS", "runs_long", "write_changes", "write_examples", "write_runs"]
+__all__ = ["METRICS", "runs_long", "write_changes", "write_examples", "write_runs", "write_scripts"]
 
 # Column heads of the change and metric files.
 CHANGE_HEADS = {
@@ -46,6 +46,12 @@ def write_changes(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     write_csv_text(named, path, mode)
 
 
+def write_scripts(df: DataFrame, path: str) -> None:
+    """Labelled scripts under the column heads they are read by; other columns stay."""
+    heads = {"content": "Script.Content", "label": "Defect.Label"}
+    write_csv_text(df.withColumnsRenamed(heads), path)
+
+
 def write_examples(df: DataFrame, path: str) -> None:
     """JSON lines, one folder per split."""
     df.select("code", "label", "split").write.mode("overwrite").partitionBy("split").json(path)

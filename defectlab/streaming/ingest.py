@@ -21,7 +21,7 @@ def stream_changes(
     checkpoint: str,
     worklist: DataFrame | None = None,
     mode: str = "strict",
-    files_per_batch: int = 1000,
+    files_per_batch: int | None = None,
 ) -> StreamingQuery:
     """Start a run over everything that has landed since the last one.
 
@@ -30,7 +30,8 @@ def stream_changes(
     commit is written once: repeats inside the batch are merged per task before
     the shuffle, files of earlier batches are left out by an anti-join that
     reads the three key columns of ``out`` only. With ``worklist``, only files
-    it names are kept. ``out`` and ``checkpoint`` belong together: drop both or
+    it names are kept. A run takes all new files as one batch unless
+    ``files_per_batch`` limits it, so earlier keys are read once per run. ``out`` and ``checkpoint`` belong together: drop both or
     neither.
     """
 
@@ -44,7 +45,10 @@ def stream_changes(
             files = files.join(earlier, FILE_KEY, "left_anti")
         change_pairs(files, mode).write.mode("overwrite").parquet(f"{out}/batch={batch}")
 
-    payloads = spark.readStream.schema(COMMIT_SCHEMA).option("maxFilesPerTrigger", files_per_batch).json(landing)
+    reader = spark.readStream.schema(COMMIT_SCHEMA)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    payloads = reader.json(landing)
     return (
         payloads.writeStream.foreachBatch(land)
         .option("checkpointLocation", checkpoint)
