@@ -8,17 +8,20 @@ are ever sorted together.
 from __future__ import annotations
 
 import math
+import os
 from collections.abc import Mapping
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from defectlab.plans.skew import bounded_rows, group_key, same_group_join, summary_join
 
 ROWS_PER_BUCKET = 1_000_000
 MAX_BUCKETS = 8192
 SAMPLES_PER_BUCKET = 200
+TELLING_BYTES = 6
 HASH_DIGITS = 3
 BUCKET = "_bucket"
 HISTOGRAM_ROWS = 200_000
@@ -42,7 +45,7 @@ def spread_buckets(df: DataFrame, key: str) -> DataFrame:
     parts = min(MAX_BUCKETS, math.ceil(rows / ROWS_PER_BUCKET))
     if parts <= 1:
         return df
-    valued = df.withColumn("_value", F.col(key).cast("double"))
+    valued = df.withColumn("_value", _as_number(df, key))
     shares = ", ".join(f"{i / parts!r}D" for i in range(1, parts))
     drawn = valued.select("_value").sample(min(1.0, SAMPLES_PER_BUCKET * parts / rows), seed=1)
     limits = drawn.agg(F.expr(f"percentile_approx(_value, array({shares}), {20 * parts})").alias("at")).first()["at"]
@@ -52,6 +55,20 @@ def spread_buckets(df: DataFrame, key: str) -> DataFrame:
     return cutter.transform(valued).drop("_value")
 
 
+def _as_number(df: DataFrame, key: str) -> Column:
+    """A number that never falls while ``key`` rises.
+
+    Of a text it is made from the bytes after the prefix that the smallest and
+    the largest value share, because all values in between share it too.
+    """
+    if not isinstance(df.schema[key].dataType, T.StringType):
+        return F.col(key).cast("double")
+    ends = df.agg(F.min(key).alias("low"), F.max(key).alias("high")).first()
+    shared = os.path.commonprefix([ends["low"] or "", ends["high"] or ""]).encode()
+    telling = F.substring(F.encode(key, "UTF-8"), len(shared) + 1, TELLING_BYTES)
+    return F.conv(F.rpad(F.hex(telling), 2 * TELLING_BYTES, "0"), 16, 10).cast("double")
+
+
 def bucket_of(df: DataFrame) -> list[str]:
     """The bucket column as a grouping key, if there is one."""
     return [BUCKET] if BUCKET in df.columns else []

@@ -111,6 +111,15 @@ def test_folds(spark, monkeypatch, seed, per_bucket):
         assert max(sizes) - min(sizes) <= 1
 
 
+def test_ordered_folds_by_text_keys(spark, monkeypatch):
+    key = F.concat(F.lit("commit-é"), F.conv(F.xxhash64("id").cast("string"), 10, 16))
+    df = labelled(spark, 400).select(key.alias("sha"), "label")
+    base = {r.sha: r.fold for r in ex.assign_folds(df, 5, "sha").collect()}
+    monkeypatch.setattr(ranks, "ROWS_PER_BUCKET", 30)
+    assert ranks.spread_buckets(df, "sha").select("_bucket").distinct().count() > 8
+    assert {r.sha: r.fold for r in ex.assign_folds(df, 5, "sha").collect()} == base
+
+
 @pytest.mark.parametrize("per_bucket", [1_000_000, 4])
 @pytest.mark.parametrize("groups", [10_000, 0])
 @pytest.mark.parametrize("seed", [None, 8])
