@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Unicode blanks as the reference's cleaning treats them.
+# All Unicode blanks, not only those of ASCII.
 BLANKS = r"[\s\p{Z}\x0b\x1c-\x1f\x85]+"
 CONTROLS = r"[\x00-\x1f\x7f]"
 NON_WORD = r"[^\p{L}\p{N}_]+"

@@ -50,6 +50,22 @@ def test_iterations_are_repeatable(table):
     assert [r[1] for r in runs[0]] == [0, 1]
 
 
+def test_runs_are_resumed(table, tmp_path, monkeypatch):
+    out = str(tmp_path / "runs")
+    small = {"k": 2, "trees": 3, "max_depth": 3, "seed": 5}
+    md.iterate(table, "id", n=1, out=out, **small)
+    made, real = [], md.cross_val_predict
+
+    def counted(*args):
+        made.append(1)
+        return real(*args)
+
+    monkeypatch.setattr(md, "cross_val_predict", counted)
+    rows = sorted(map(tuple, md.iterate(table, "id", n=3, out=out, **small).select("run", "phase", "auc", "f1").collect()))
+    assert len(made) == 2
+    assert rows == sorted(map(tuple, md.iterate(table, "id", n=3, **small).select("run", "phase", "auc", "f1").collect()))
+
+
 def test_repeated_holdout(table):
     rows = md.iterate_holdout(table, "id", n=1, k=2, trees=3, max_depth=3).collect()
     assert sorted(r.phase for r in rows) == ["Cross-Validation", "Testing"]
