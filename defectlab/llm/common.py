@@ -37,7 +37,7 @@ def text_udf(kind: str, start: Callable[[], Callable[[list], list]]) -> Callable
 _TYPES = {
     "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(),
     "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()),
-    "array<string>": pa.list_(pa.string()),
+    "array<string>": pa.list_(pa.string()), "array<double>": pa.list_(pa.float64()),
 }
 
 
