@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from defectlab.llm import binary, bpe, chat, quality
+from defectlab.llm import binary, bpe, chat, quality, sharding
 from defectlab.llm.common import read_table
 from defectlab.session import scratch_path
 
@@ -93,3 +93,12 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = docs.select("doc_id", quality.verdict(F.col("text"), model).alias("v"))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share"]
     return found.select("doc_id", *[F.col("v")[n].alias(n) for n in names])
+
+
+@query
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight shards of equal row counts; groups are equal texts."""
+    placed = sharding.shard_documents(read_table(spark, sf_dir, "documents"), shards=8)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "digest"
+    )
