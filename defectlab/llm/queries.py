@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from defectlab.llm import binary, bpe, chat, decontaminate, quality, sharding
+from defectlab.llm import binary, bpe, chat, decontaminate, pii, quality, sharding
 from defectlab.llm.common import read_table
 from defectlab.session import scratch_path
 
@@ -108,3 +108,13 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that holds an item of the benchmark, with the item and the alignment."""
     return decontaminate.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base spans of every document and those the field adds."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = docs.select("doc_id", pii.spans(F.col("text"), pii.fit_spans(docs)).alias("p"))
+    return found.select(
+        "doc_id", "p.n_email", "p.n_ip", "p.n_card", "p.n_phone", F.sha2("p.base", 256).alias("base_sha256"), F.col("p.spans").alias("spans")
+    )
