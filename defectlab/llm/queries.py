@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from defectlab.llm import binary, bpe, chat, decontaminate, pii, quality, sharding
+from defectlab.llm import binary, bpe, chat, decontaminate, pii, quality, sharding, toxicity
 from defectlab.llm.common import read_table
 from defectlab.session import scratch_path
 
@@ -118,3 +118,13 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "p.n_email", "p.n_ip", "p.n_card", "p.n_phone", F.sha2("p.base", 256).alias("base_sha256"), F.col("p.spans").alias("spans")
     )
+
+
+@query
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score for every document, learnt from the labels that are not held out."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    characters = toxicity.character_model(docs)
+    model = toxicity.fit_labels(docs, read_table(spark, sf_dir, "labels"), characters)
+    found = docs.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), toxicity.score(F.col("text"), characters, model).alias("score"))
+    return found.withColumn("predicted", F.when(F.col("score") >= 0.7, 1).otherwise(0))
