@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from defectlab.llm import binary, bpe, chat, decontaminate, pii, quality, sharding, toxicity
+from defectlab.llm import binary, bpe, chat, decontaminate, html, pii, quality, sharding, toxicity
 from defectlab.llm.common import read_table
 from defectlab.session import scratch_path
 
@@ -128,3 +128,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit_labels(docs, read_table(spark, sf_dir, "labels"), characters)
     found = docs.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), toxicity.score(F.col("text"), characters, model).alias("score"))
     return found.withColumn("predicted", F.when(F.col("score") >= 0.7, 1).otherwise(0))
+
+
+@query
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    found = html.main_text(read_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
