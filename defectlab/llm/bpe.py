@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from defectlab.llm.common import text_udf
-from defectlab.llm.tokens import byte_level
+from defectlab.llm.tokens import byte_level, byte_table
+from defectlab.llm.tokens import decode as decode_ids
 
 
 def _encoder(path: str, pattern: str, offsets: bool):
@@ -28,9 +29,19 @@ def _encoder(path: str, pattern: str, offsets: bool):
     return work
 
 
-def _decoder(path: str, pattern: str):
+def _decoder(path: str):
+    table = byte_table(path)
+    return lambda found: [(decode_ids(table, i or b""),) for i in found]
+
+
+def _both(path: str, pattern: str):
     codec = byte_level(path, pattern)
-    return lambda found: [(codec.decode(i or b""),) for i in found]
+
+    def work(texts):
+        ids = [codec.encode(t or "") for t in texts]
+        return [(i, codec.decode(i)) for i in ids]
+
+    return work
 
 
 def encode(text: Column, path: str, pattern: str, offsets: bool = False) -> Column:
@@ -39,12 +50,12 @@ def encode(text: Column, path: str, pattern: str, offsets: bool = False) -> Colu
     return text_udf(kind, partial(_encoder, path, pattern, offsets))(text)
 
 
-def decode(ids: Column, path: str, pattern: str) -> Column:
+def decode(ids: Column, path: str) -> Column:
     """The bytes of an id sequence; text is ``decode(...).cast("string")`` where the sequence ends between characters."""
-    return text_udf("struct<bytes:binary>", partial(_decoder, path, pattern))(ids)["bytes"]
+    return text_udf("struct<bytes:binary>", partial(_decoder, path))(ids)["bytes"]
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
-    """``docs`` with the columns ``_ids`` and ``_decoded`` added; rows and other columns stay."""
-    found = docs.withColumn("_ids", encode(F.col(text), path, pattern)["ids"])
-    return found.withColumn("_decoded", decode(F.col("_ids"), path, pattern))
+    """``docs`` with the columns ``_ids`` and ``_decoded`` added, made in one pass over the text; rows and other columns stay."""
+    both = text_udf("struct<ids:binary,decoded:binary>", partial(_both, path, pattern))(F.col(text))
+    return docs.withColumn("_both", both).withColumns({"_ids": F.col("_both.ids"), "_decoded": F.col("_both.decoded")}).drop("_both")

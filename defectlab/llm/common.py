@@ -12,6 +12,8 @@ from defectlab.session import scratch_path
 
 # Broadcast at most this much; beyond it the callers join or work in blocks.
 BROADCAST_BYTES = 64 << 20
+# Python values of so many rows at a time, whatever the size of an Arrow batch.
+SLICE_ROWS = 512
 
 
 def words_of(text: str) -> list[bytes]:
@@ -29,7 +31,9 @@ def text_udf(kind: str, start: Callable[[], Callable[[list], list]]) -> Callable
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         work = start()
         for batch in batches:
-            yield tuples_to_struct(work(batch.to_pylist()), kind)
+            parts = (batch.slice(i, SLICE_ROWS).to_pylist() for i in range(0, max(1, len(batch)), SLICE_ROWS))
+            made = [tuples_to_struct(work(part), kind) for part in parts]
+            yield made[0] if len(made) == 1 else pa.concat_arrays(made)
 
     return run
 

@@ -18,8 +18,8 @@ import regex
 from tokenizers import Tokenizer
 from tokenizers.models import BPE
 
-MOST_CHUNKS = 300_000
-MOST_PIECES = 500_000
+MOST_CHUNKS = 150_000
+MOST_PIECES = 300_000
 
 # Unicode's White_Space, which is \s of the published pattern.
 BLANK = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -73,6 +73,11 @@ def merges_of(ranks: dict[bytes, int]) -> list[tuple[str, str]]:
     return [(a, b) for _, _, a, b in sorted(found)]
 
 
+def decode(bytes_of: dict[int, bytes], ids: bytes) -> bytes:
+    """The bytes of the ids; a character split over tokens is whole again here, not in its tokens."""
+    return b"".join(map(bytes_of.__getitem__, array("I", ids)))
+
+
 class ByteLevel:
     """Byte-level BPE by ranks, matches of ``pattern`` encoded separately, no special tokens."""
 
@@ -95,8 +100,7 @@ class ByteLevel:
         return b"".join(map(self.chunks.__getitem__, CHUNKS.findall(text)))
 
     def decode(self, ids: bytes) -> bytes:
-        """The bytes of the ids; a character split over tokens is whole again here, not in its tokens."""
-        return b"".join(map(self.bytes_of.__getitem__, array("I", ids)))
+        return decode(self.bytes_of, ids)
 
     def offsets(self, text: str, ids: bytes) -> tuple[list[int], list[int]]:
         """First and last-but-one code point of every token; tokens that share a character both cover it."""
@@ -151,6 +155,12 @@ def byte_level(path: str, pattern: str) -> ByteLevel:
     return ByteLevel(read_ranks(path), pattern)
 
 
+@lru_cache(maxsize=4)
+def byte_table(path: str) -> dict[int, bytes]:
+    """All that decoding needs."""
+    return {r: t for t, r in read_ranks(path).items()}
+
+
 @lru_cache(maxsize=4)
 def word_level(path: str) -> WordLevel:
     return WordLevel(path)
