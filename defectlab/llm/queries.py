@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from defectlab.llm import binary, bpe, chat, decontaminate, html, pii, quality, sharding, toxicity
+from defectlab.llm import binary, bpe, chat, decontaminate, html, ngram_join, pii, quality, sharding, toxicity
 from defectlab.llm.common import read_table
 from defectlab.session import scratch_path
 
@@ -135,3 +135,9 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     found = html.main_text(read_table(spark, sf_dir, "pages"))
     return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of links at a similarity of 0.9 on three-word shingles."""
+    return ngram_join.link_components(read_table(spark, sf_dir, "documents"), n=3, percent=90)
