@@ -8,6 +8,10 @@ from defectlab.llm import stages
 from defectlab.llm.common import read_table, store
 
 STAGES = [
+    ("quality_rules", stages.quality_rules),
+    ("near_duplicates", stages.near_duplicates),
+    ("benchmark_leaks", stages.benchmark_leaks),
+    ("personal_data", stages.personal_data),
     ("byte_bpe", stages.token_ids),
 ]
 
