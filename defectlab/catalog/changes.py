@@ -270,10 +270,12 @@ tokens AS (SELECT DISTINCT unnest({terms_sql('title')}) AS token FROM turns),
 places AS (SELECT token, ('0x' || substr(md5(token), 8, 1))::INTEGER AS digit,
   ('0x' || substr(md5(token), 1, 7))::BIGINT % (SELECT max(vec_id) + 1 FROM embeddings) AS vec_id FROM tokens),
 vectors AS (SELECT token, CASE WHEN digit < 6 THEN 'NOUN' WHEN digit < 11 THEN 'VERB' ELSE 'ADJ' END AS pos,
-  embedding::DOUBLE[] AS vector FROM places JOIN embeddings USING (vec_id)),
+  list_transform(embedding, lambda x: x::DOUBLE * ((vec_id % 5 + 1)::DOUBLE / 2)) AS vector
+  FROM places JOIN embeddings USING (vec_id)),
 keywords AS (SELECT arg_min(embedding, vec_id)::DOUBLE[] AS k FROM embeddings GROUP BY label),
 near AS (SELECT DISTINCT token FROM vectors v WHERE pos IN ('NOUN', 'VERB')
-  AND EXISTS (SELECT 1 FROM keywords WHERE list_dot_product(v.vector, k) >= 0.3)),
+  AND EXISTS (SELECT 1 FROM keywords
+    WHERE list_dot_product(v.vector, k) >= 0.3 * sqrt(list_dot_product(v.vector, v.vector)) * sqrt(list_dot_product(k, k)))),
 chosen AS (SELECT DISTINCT project_id, commit_id FROM (SELECT project_id, commit_id, unnest({terms_sql('title')}) AS token FROM turns)
   WHERE token IN (SELECT token FROM near))"""
 

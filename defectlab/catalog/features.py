@@ -53,26 +53,36 @@ def m2_tfidf(spark, sf):
 
 STATS = """n AS (SELECT count(*)::DOUBLE AS n FROM documents),
 stats AS (SELECT term, sum(tf) / any_value(n) AS mu,
-  sqrt(sum(tf * tf) / any_value(n) - (sum(tf) / any_value(n)) * (sum(tf) / any_value(n))) AS sd FROM postings, n GROUP BY term)"""
+  sqrt((count(*) * var_pop(tf) + avg(tf) * avg(tf) * count(*) * (any_value(n) - count(*)) / any_value(n)) / any_value(n)) AS sd
+  FROM cells, n GROUP BY term),
+scaled AS (SELECT term, mu, CASE WHEN sd <= 1e-12 * abs(mu) THEN 1.0 ELSE sd END AS sd FROM stats)"""
+
+# A term of large values next to each other stands beside the counts.
+CELLS = """cells AS (SELECT doc_id, term, tf::DOUBLE AS tf FROM postings
+  UNION ALL SELECT doc_id, '#chars', 100000000 + n_chars FROM documents)"""
+
+
+def _cells(spark, sf):
+    large = (F.col("n_chars") + 100_000_000).cast("long").alias("tf")
+    return _postings(spark, sf).unionByName(fx.table(spark, sf, "documents").select("doc_id", F.lit("#chars").alias("term"), large))
 
 
 @query(
     "m3_scale",
-    f"""WITH {POSTINGS}, {STATS} SELECT doc_id, term, round((tf - mu) / CASE WHEN sd < 1e-12 THEN 1.0 ELSE sd END, 6) AS z
-    FROM postings JOIN stats USING (term)""",
+    f"""WITH {POSTINGS}, {CELLS}, {STATS} SELECT doc_id, term, round((tf - mu) / sd, 6) AS z FROM cells JOIN scaled USING (term)""",
 )
 def m3_scale(spark, sf):
-    return ft.scale(_postings(spark, sf), _rows(spark, sf)).select("doc_id", "term", F.round("z", 6).alias("z"))
+    return ft.scale(_cells(spark, sf), _rows(spark, sf)).select("doc_id", "term", F.round("z", 6).alias("z"))
 
 
 @query(
     "m3_scale_stats",
-    f"""WITH {POSTINGS}, {STATS} SELECT term, round(mu, 6) AS mu, round(CASE WHEN sd < 1e-12 THEN 1.0 ELSE sd END, 6) AS sd,
-    round(-mu / CASE WHEN sd < 1e-12 THEN 1.0 ELSE sd END, 6) AS z_of_zero FROM stats""",
+    f"""WITH {POSTINGS}, {CELLS}, {STATS} SELECT term, round(mu, 6) AS mu, round(sd, 6) AS sd, round(-mu / sd, 4) AS z_of_zero
+    FROM scaled""",
 )
 def m3_scale_stats(spark, sf):
-    stats = ft.scale_stats(_postings(spark, sf), _rows(spark, sf))
-    return stats.select("term", *[F.round(c, 6).alias(c) for c in ("mu", "sd", "z_of_zero")])
+    stats = ft.scale_stats(_cells(spark, sf), _rows(spark, sf))
+    return stats.select("term", *[F.round(c, d).alias(c) for c, d in (("mu", 6), ("sd", 6), ("z_of_zero", 4))])
 
 
 @query(
@@ -103,4 +113,5 @@ def s7_matrix(spark, sf):
     )
     path = scratch_path(spark, "matrix")
     dense.write.option("header", True).csv(path)
-    return matrix_long(read_matrix(spark, path))
+    cells = matrix_long(read_matrix(spark, path))
+    return cells.select(F.col("doc_id").cast("long").alias("doc_id"), "label", "feature", "value")

@@ -99,9 +99,9 @@ def k2_examples(spark, sf):
     return back.select("label", "split", F.md5("code").alias("code"))
 
 
-@query("s6_examples", f"SELECT label, code FROM ({SPLIT_EXAMPLES}) WHERE split = 'train'")
+@query("s6_examples", f"SELECT label, code FROM ({SPLIT_EXAMPLES})")
 def s6_examples(spark, sf):
-    back = read_examples(spark, _written_examples(spark, sf) + "/split=train")
+    back = read_examples(spark, _written_examples(spark, sf))
     return back.select("label", F.md5("code").alias("code"))
 
 

@@ -6,8 +6,12 @@ from defectlab import fixtures as fx
 from defectlab.catalog.registry import SCRIPTS, clean_sql, collapse_sql, query, terms_sql
 from defectlab.catalog.stemming import STEMS, stemmed_sql
 from defectlab.functions import text as tx
+from defectlab.functions.text import clean_text
 from defectlab.operators import examples as ex
 from defectlab.operators import features as ft
+from defectlab.session import scratch_path
+from defectlab.sources import read_scripts
+from defectlab.sources.writers import write_csv_text
 
 
 def _docs(spark, sf, made):
@@ -207,11 +211,15 @@ def t14_fit_length(spark, sf):
     )
 
 
-@query("f5_drop_null", "SELECT d.doc_id, quality FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE quality IS NOT NULL")
+@query("f5_drop_null", f"WITH {SCRIPTS} SELECT script_id, md5({clean_sql('content')}) AS content FROM scripts WHERE script_id % 7 <> 0")
 def f5_drop_null(spark, sf):
-    docs = fx.table(spark, sf, "documents").select("doc_id")
-    marked = docs.join(fx.table(spark, sf, "labels"), "doc_id", "left")
-    return ex.drop_null(marked, ["quality"]).select("doc_id", "quality")
+    """Every seventh script is written without its content, read back and dropped."""
+    path = scratch_path(spark, "gaps")
+    content = F.when(F.col("script_id") % 7 != 0, F.col("content"))
+    gaps = fx.scripts(spark, sf).select("script_id", content.alias("Script.Content"), F.col("label").alias("Defect.Label"))
+    write_csv_text(gaps, path)
+    kept = ex.drop_null(read_scripts(spark, path, "UTF-8"), ["content"])
+    return kept.select(F.col("script_id").cast("long").alias("script_id"), F.md5(clean_text(F.col("content"))).alias("content"))
 
 
 @query(

@@ -131,9 +131,11 @@ def project_pages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def token_vectors(spark: SparkSession, folder: str) -> DataFrame:
-    """Every title token with a tag and the vector its digest points to."""
+    """Every title token with a tag and the vector its digest points to, stretched by one of five lengths."""
     tokens = project_commits(spark, folder).select(F.explode(terms(F.col("title"))).alias("token")).distinct()
-    vectors = table(spark, folder, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    length = (F.col("vec_id") % 5 + 1).cast("double") / 2
+    stretched = F.transform("embedding", lambda x: x.cast("double") * length)
+    vectors = table(spark, folder, "embeddings").select("vec_id", stretched.alias("vector"))
     size = vectors.agg(F.max("vec_id") + 1).scalar()
     digit = F.conv(F.substring(F.md5("token"), 8, 1), 16, 10).cast("int")
     tag = F.when(digit < 6, "NOUN").when(digit < 11, "VERB").otherwise("ADJ")

@@ -104,9 +104,13 @@ def patch_lines(df: DataFrame, keys: list[str], mode: str = "strict") -> DataFra
     """
     hunks = F.split(patch_body(F.col("patch"), mode), r"\n(?=@@)")
     by_hunk = df.select(*keys, F.posexplode(hunks).alias("h", "text"))
-    by_line = by_hunk.select(*keys, (F.col("h") + 1).alias("hunk"), F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
+    headed = F.startswith("text", F.lit("@@")).cast("int")  # a header takes place 0
+    by_line = by_hunk.select(
+        *keys, (F.col("h") + 1).alias("hunk"), headed.alias("_headed"), F.posexplode(F.split("text", "\n")).alias("pos", "raw")
+    )
     kind = line_kind(F.col("raw"), mode)
-    body = by_line.select(*keys, "hunk", "pos", kind.alias("kind"), "raw").where("kind <> 'header'")
+    place = F.col("pos") + 1 - F.col("_headed")
+    body = by_line.select(*keys, "hunk", place.alias("pos"), kind.alias("kind"), "raw").where("kind <> 'header'")
     signed = F.col("kind").isin("deleted", "added")
     text = F.when(signed, line_text(F.col("raw"), mode)).otherwise(F.col("raw"))
     return body.withColumn("line", text).drop("raw")
@@ -131,8 +135,7 @@ def project_changes(commits: DataFrame, diffs: DataFrame, projects: DataFrame |
     """
     if projects is not None:
         wanted = projects.select(F.explode("projects.id").alias("project_id")).distinct()
-        sizes = diffs.groupBy("project_id").agg(F.count(F.lit(1)).alias("n"))
-        commits = skew_join(commits, wanted, ["project_id"], "left_semi", ["commit_id"], sizes)
+        commits = skew_join(commits, wanted, ["project_id"], "left_semi", ["commit_id"])
     key = ["project_id", "commit_id"]
     chosen = commits.groupBy(*key).agg(F.min("title").alias("title"))
     files = diffs.where(is_yaml(F.col("new_path")))

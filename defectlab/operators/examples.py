@@ -29,7 +29,7 @@ def clean_pairs(pairs: DataFrame) -> DataFrame:
 
 
 def dedup_pairs(df: DataFrame, order: str, key: tuple[str, ...] = ("deleted_lines", "added_lines")) -> DataFrame:
-    """The first row by ``order`` for every distinct ``key``.
+    """The first row by ``order`` for every distinct ``key``; where ``order`` repeats, by a hash of the row.
 
     Rows meet on a digest of the key, and each task keeps one row per key
     before anything is shuffled, so any number of copies is harmless.
@@ -37,7 +37,7 @@ def dedup_pairs(df: DataFrame, order: str, key: tuple[str, ...] = ("deleted_line
     parts = [F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in key]
     lengths = [F.length(p).cast("string") for p in parts]
     digest = F.sha2(F.concat_ws(":", *lengths, *parts), 256)
-    first = F.min_by(F.struct(*df.columns), F.col(order)).alias("row")
+    first = F.min_by(F.struct(*df.columns), F.struct(F.col(order), F.xxhash64(*df.columns))).alias("row")
     return df.groupBy(digest.alias("_key")).agg(first).select("row.*")
 
 

@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 from defectlab.functions.stem import stem_text, stem_token
 from defectlab.functions.text import collapse_blanks, term_runs, terms, word_count
-from defectlab.plans.skew import skew_join, summary_join
+from defectlab.plans.ranks import ordered_rank
+from defectlab.plans.skew import skew_join, small_enough, summary_join
+from defectlab.session import cut_lineage
 
-MAX_VOCABULARY = 1 << 18
+ALL_TERMS = (1 << 31) - 1
 
 
 def token_stats(df: DataFrame, text: str) -> DataFrame:
@@ -64,8 +66,22 @@ def document_frequency(df: DataFrame, text: str) -> DataFrame:
 
 
 def vocabulary(frequency: DataFrame, k: int, min_df: int = 1) -> DataFrame:
-    """The k terms found in most rows; ties by term."""
-    return frequency.where(F.col("df") >= min_df).orderBy(F.desc("df"), "term").limit(k)
+    """The k terms found in most rows; ties by term.
+
+    How many terms have each count tells the count at which k is reached. All
+    terms above it are taken as they are, only those at it are put in order.
+    """
+    ready = cut_lineage(frequency.where(F.col("df") >= min_df))
+    above, cut = 0, None
+    for r in ready.groupBy("df").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("df")).toLocalIterator():
+        if above + r["n"] >= k:
+            cut = r["df"]
+            break
+        above += r["n"]
+    if cut is None:
+        return ready
+    ties = ordered_rank(ready.where(F.col("df") == cut), "term", name="_rank").where(F.col("_rank") <= k - above)
+    return ready.where(F.col("df") > cut).unionByName(ties.drop("_rank"))
 
 
 def postings(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -75,11 +91,15 @@ def postings(df: DataFrame, key: str, text: str) -> DataFrame:
     return named.select(key, "term", F.expr("length(_run) div (length(term) + 1)").alias("tf"))
 
 
-def bag_of_words(df: DataFrame, key: str, text: str, vocab_size: int = MAX_VOCABULARY, min_df: int = 1) -> DataFrame:
-    """Term counts over the ``vocab_size`` most common terms."""
-    chosen = vocabulary(document_frequency(df, text), vocab_size, min_df).select("term")
+def bag_of_words(df: DataFrame, key: str, text: str, vocab_size: int | None = None, min_df: int = 1) -> DataFrame:
+    """Term counts over all terms, or over the ``vocab_size`` most common ones."""
     posts = postings(df, key, text)
-    if vocab_size <= MAX_VOCABULARY:
+    if vocab_size is None and min_df <= 1:
+        return posts
+    frequency = document_frequency(df, text)
+    kept = vocabulary(frequency, vocab_size, min_df) if vocab_size is not None else frequency.where(F.col("df") >= min_df)
+    chosen = cut_lineage(kept.select("term"))
+    if small_enough(chosen, ["term"]):
         return posts.join(F.broadcast(chosen), "term", "left_semi")
     return skew_join(posts, chosen, ["term"], "left_semi", [key])
 
@@ -96,14 +116,19 @@ def tf_idf(posts: DataFrame, frequency: DataFrame, rows: Column | int) -> DataFr
 def scale_stats(cells: DataFrame, rows: Column | int, value: str = "tf") -> DataFrame:
     """(term, mu, sd, z_of_zero, n) over all rows, absent cells counting 0.
 
-    sd is the population deviation, 1 for a constant feature.
+    sd is the population deviation, 1 for a constant feature. It is put together
+    from the stored cells' own variance and their mean, so that large values
+    next to each other keep their digits.
     """
     total = rows if isinstance(rows, Column) else F.lit(rows)
     x = F.col(value).cast("double")
-    sums = cells.groupBy("term").agg(F.sum(x).alias("s"), F.sum(x * x).alias("q"), F.count(F.lit(1)).alias("n"))
+    sums = cells.groupBy("term").agg(
+        F.sum(x).alias("s"), F.avg(x).alias("m"), F.var_pop(x).alias("v"), F.count(F.lit(1)).alias("n")
+    )
     mu = F.col("s") / total
-    spread = F.sqrt(F.greatest(F.col("q") / total - mu * mu, F.lit(0.0)))
-    sd = F.when(spread < 1e-12, F.lit(1.0)).otherwise(spread)
+    absent = F.col("m") * F.col("m") * F.col("n") * (total - F.col("n")) / total
+    spread = F.sqrt((F.col("n") * F.col("v") + absent) / total)
+    sd = F.when(spread <= 1e-12 * F.abs(mu), F.lit(1.0)).otherwise(spread)
     return sums.select("term", mu.alias("mu"), sd.alias("sd"), "n").withColumn(
         "z_of_zero", -F.col("mu") / F.col("sd")
     )
@@ -126,11 +151,12 @@ def select_features(df: DataFrame, chosen: Sequence[int] | DataFrame, features:
 
 
 def vectorize(
-    df: DataFrame, text: str, vocab_size: int = MAX_VOCABULARY, min_df: float = 1.0, weighting: str = "tfidf"
+    df: DataFrame, text: str, vocab_size: int = ALL_TERMS, min_df: float = 1.0, weighting: str = "tfidf"
 ) -> tuple[DataFrame, PipelineModel]:
     """Sparse term vectors in ``features`` and the fitted model.
 
-    The vocabulary is bounded by ``vocab_size``; texts are never shuffled.
+    All terms count unless ``vocab_size`` says otherwise; the vocabulary is kept
+    in the model, on the driver. Texts are never shuffled.
     """
     with_terms = df.withColumn("_terms", terms(F.col(text)))
     counted = "features" if weighting == "bow" else "_counts"

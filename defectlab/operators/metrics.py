@@ -94,10 +94,12 @@ def binary_metrics(df: DataFrame, by: list[str] | None = None) -> DataFrame:
 def score_curve(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Per distinct score, from the highest down: own and running counts.
 
+    NaN scores stand below all numbers and NULL scores below these, whatever
+    the size of the table.
     ``pos``/``neg`` are the score's own labels, ``tp``/``fp`` all at or above it.
     """
     by = by or []
-    ranged = spread_buckets(df.select(*by, "label", (-F.col("score")).alias("_down")), "_down")
+    ranged = spread_buckets(df.select(*by, "label", (-F.col("score")).alias("_down")), "_down", nulls_last=True)
     counted = ranged.groupBy(*by, *bucket_of(ranged), "_down").agg(
         F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg")
     )

@@ -36,23 +36,31 @@ def similar_tokens(
     cutoff: float = 0.8,
     tags: Sequence[str] = CONTENT_TAGS,
 ) -> DataFrame:
-    """Tokens of the given tags whose unit vector is close to any keyword's.
+    """Tokens of the given tags whose vector points the same way as any keyword's.
 
-    All inner products of an Arrow batch are one matrix product.
+    Closeness is the cosine; vectors need not have unit length, and a zero
+    vector is close to nothing. All inner products of an Arrow batch are one
+    matrix product.
     """
-    table = np.asarray(keywords, dtype="float64").T
+    table = _unit(np.asarray(keywords, dtype="float64")).T
 
     @F.pandas_udf(T.BooleanType())
     def close(batch: pd.Series) -> pd.Series:
         if batch.empty:
             return pd.Series([], dtype=bool)
-        found = np.stack(batch.to_numpy()).astype("float64") @ table
-        return pd.Series(found.max(axis=1) >= cutoff)
+        found = _unit(np.stack(batch.to_numpy()).astype("float64")) @ table
+        return pd.Series((found >= cutoff).any(axis=1))
 
     tagged = vectors.where(F.col("pos").isin(*tags) & F.col("vector").isNotNull())
     return tagged.where(close("vector")).select("token").distinct()
 
 
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    """Rows of length one; a zero row becomes NaN, which passes no comparison."""
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+
+
 def semantic_matches(
     commits: DataFrame,
     vectors: DataFrame,

@@ -24,22 +24,25 @@ SAMPLES_PER_BUCKET = 200
 TELLING_BYTES = 6
 HASH_DIGITS = 3
 BUCKET = "_bucket"
+NO_KEY = "\u0000"
 HISTOGRAM_ROWS = 200_000
 BOUNDARY_ROWS = 500_000
 
 
 def seeded_hash(seed: int | Column, key: str) -> Column:
-    """Placement of a row that depends on the seed and its key only."""
+    """Placement of a row that depends on the seed and its key only; NULL is a key like any other."""
     seed = seed if isinstance(seed, Column) else F.lit(seed)
-    return F.md5(F.concat(seed.cast("string"), F.lit(":"), F.col(key).cast("string")))
+    return F.md5(F.concat(seed.cast("string"), F.lit(":"), F.coalesce(F.col(key).cast("string"), F.lit(NO_KEY))))
 
 
-def spread_buckets(df: DataFrame, key: str) -> DataFrame:
+def spread_buckets(df: DataFrame, key: str, nulls_last: bool = False) -> DataFrame:
     """Add ``_bucket``: ranges of ``key`` holding about equally many rows.
 
     Small inputs stay as they are and are ranked as one. For others the range
     limits come from a sample of bounded size: they only steer how even the
-    buckets are, every row gets its place whatever they are.
+    buckets are, every row gets its place whatever they are. Buckets rise as
+    Spark sorts: NaN above all numbers, NULL in a bucket of its own, the first
+    or, with ``nulls_last``, the last.
     """
     rows = df.count()
     parts = min(MAX_BUCKETS, math.ceil(rows / ROWS_PER_BUCKET))
@@ -47,12 +50,16 @@ def spread_buckets(df: DataFrame, key: str) -> DataFrame:
         return df
     valued = df.withColumn("_value", _as_number(df, key))
     shares = ", ".join(f"{i / parts!r}D" for i in range(1, parts))
-    drawn = valued.select("_value").sample(min(1.0, SAMPLES_PER_BUCKET * parts / rows), seed=1)
+    drawn = valued.select("_value").where(F.col("_value").isNotNull() & ~F.isnan("_value"))
+    drawn = drawn.sample(min(1.0, SAMPLES_PER_BUCKET * parts / rows), seed=1)
     limits = drawn.agg(F.expr(f"percentile_approx(_value, array({shares}), {20 * parts})").alias("at")).first()["at"]
-    cutter = Bucketizer(
-        splits=[-math.inf, *sorted(set(limits or [])), math.inf], inputCol="_value", outputCol=BUCKET, handleInvalid="keep"
-    )
-    return cutter.transform(valued).drop("_value")
+    plain = F.col("_value").isNotNull() & ~F.isnan("_value")
+    inner = sorted({x for x in limits or [] if math.isfinite(x)})
+    cutter = Bucketizer(splits=[-math.inf, *inner, math.inf], inputCol="_plain", outputCol=BUCKET, handleInvalid="keep")
+    cut = cutter.transform(valued.withColumn("_plain", F.when(plain, F.col("_value")).otherwise(F.lit(0.0))))
+    above = float(len(inner) + 2)
+    place = F.when(F.col("_value").isNull(), F.lit(above + 1 if nulls_last else -1.0)).when(plain, F.col(BUCKET)).otherwise(F.lit(above))
+    return cut.withColumn(BUCKET, place).drop("_value", "_plain")
 
 
 def _as_number(df: DataFrame, key: str) -> Column:
@@ -61,7 +68,14 @@ def _as_number(df: DataFrame, key: str) -> Column:
     Of a text it is made from the bytes after the prefix that the smallest and
     the largest value share, because all values in between share it too.
     """
-    if not isinstance(df.schema[key].dataType, T.StringType):
+    kind = df.schema[key].dataType
+    if isinstance(kind, T.DateType):
+        return F.unix_date(key).cast("double")
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(key).cast("double")
+    if isinstance(kind, T.TimestampNTZType):
+        return F.unix_micros(F.to_utc_timestamp(F.col(key), "UTC")).cast("double")
+    if not isinstance(kind, T.StringType):
         return F.col(key).cast("double")
     ends = df.agg(F.min(key).alias("low"), F.max(key).alias("high")).first()
     shared = os.path.commonprefix([ends["low"] or "", ends["high"] or ""]).encode()

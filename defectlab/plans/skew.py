@@ -73,6 +73,13 @@ def _with_pieces(df: DataFrame, known: DataFrame, on: list[str]) -> DataFrame:
     return same_group_join(df, F.broadcast(known), on, "left")
 
 
+def small_enough(table: DataFrame, texts: list[str]) -> bool:
+    """Whether a written table may be broadcast, by its rows and the bytes of its text columns."""
+    text = sum((F.octet_length(F.col(c).cast("string")) for c in texts), F.lit(0))
+    size = table.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(text), F.lit(0)).alias("bytes")).first()
+    return size["rows"] <= SMALL_ROWS and size["bytes"] <= SMALL_BYTES
+
+
 def summary_join(facts: DataFrame, summary: DataFrame, on: list[str], spread: list[str]) -> DataFrame:
     """Inner join with a per-key summary of the facts themselves.
 
@@ -81,9 +88,7 @@ def summary_join(facts: DataFrame, summary: DataFrame, on: list[str], spread: li
     then its real size decides between a broadcast and a split-up join.
     """
     ready = cut_lineage(summary)
-    text = sum((F.length(F.col(c).cast("string")) for c in on), F.lit(0))
-    size = ready.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(text), F.lit(0)).alias("chars")).first()
-    if size["rows"] <= SMALL_ROWS and size["chars"] <= SMALL_BYTES:
+    if small_enough(ready, on):
         return facts.join(F.broadcast(ready.drop("n")), on)
     return skew_join(facts, ready.drop("n"), on, "inner", spread, ready.select(*on, "n"))
 

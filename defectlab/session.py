@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 TARGET_BYTES = 256 << 20
-MOST_PARTITIONS = 100_000
 _local_dirs: dict[str, str] = {}
 
 
@@ -23,6 +22,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.sql.files.openCostInBytes", "1m")
         .getOrCreate()
     )
 
@@ -66,7 +66,7 @@ def tune(spark: SparkSession, total_bytes: int) -> None:
     Shuffles start with pieces of about TARGET_BYTES, which adaptive execution
     then merges where a stage turns out smaller.
     """
-    pieces = min(MOST_PARTITIONS, max(spark.sparkContext.defaultParallelism, total_bytes // TARGET_BYTES))
+    pieces = max(spark.sparkContext.defaultParallelism, -(-total_bytes // TARGET_BYTES))
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.shuffle.partitions", str(pieces))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,12 +39,9 @@ PAGES_PER_BLOCK = 10_000
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """A parquet table for work that is heavy per row.
 
-    A scan with fewer splits than cores can only come from a small table, and
-    would leave cores idle; its rows are dealt out. Larger tables stay as read.
+    Its pieces are those of the scan; the session's split sizes set how many.
     """
-    table = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+    return spark.read.parquet(path)
 
 
 def read_csv_text(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
@@ -59,12 +57,12 @@ def read_csv_text(spark: SparkSession, path: str, encoding: str = "UTF-8") -> Da
 
 
 def read_scripts(spark: SparkSession, path: str, encoding: str = "ISO-8859-1") -> DataFrame:
-    """Labelled scripts from ``Script.Content`` and ``Defect.Label``; other columns stay."""
+    """Labelled scripts from ``Script.Content`` and ``Defect.Label``; other columns stay, absent content stays NULL."""
     raw = read_csv_text(spark, path, encoding)
     kept = [F.col(f"`{c}`") for c in raw.columns if c not in ("Script.Content", "Defect.Label")]
     return raw.select(
         *kept,
-        F.coalesce(F.col("`Script.Content`"), F.lit("")).alias("content"),
+        F.col("`Script.Content`").alias("content"),
         F.col("`Defect.Label`").cast("int").alias("label"),
     )
 
@@ -133,11 +131,11 @@ def read_examples(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_matrix(spark: SparkSession, path: str) -> DataFrame:
-    """Dense matrix by position: id, label, one skipped column, then features."""
+    """Dense matrix by position: id (as text, it may be a path), label, one skipped column, then features."""
     raw = spark.read.option("header", True).csv(path)
     row_id, label, _, *features = raw.columns
     typed = raw.select(
-        F.col(f"`{row_id}`").alias("doc_id").cast("long"),
+        F.col(f"`{row_id}`").alias("doc_id"),
         F.col(f"`{label}`").alias("label").cast("int"),
         *[F.col(f"`{c}`").cast("double").alias(f"f{i}") for i, c in enumerate(features)],
     )
@@ -147,9 +145,7 @@ def read_matrix(spark: SparkSession, path: str) -> DataFrame:
 
 def matrix_long(matrix: DataFrame) -> DataFrame:
     """The same matrix as (doc_id, label, feature index, value) rows."""
-    names = [c for c in matrix.columns if c not in ("doc_id", "label", "features")]
-    cells = F.array(*[F.struct(F.lit(i).alias("feature"), F.col(c).alias("value")) for i, c in enumerate(names)])
-    return matrix.select("doc_id", "label", F.inline(cells))
+    return matrix.select("doc_id", "label", F.posexplode(vector_to_array("features")).alias("feature", "value"))
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from __spark_entry__ import queries
 from defectlab.operators import examples as ex
 from defectlab.operators import features as ft
+from defectlab.operators import metrics as mt
+from defectlab.operators import runs
 from defectlab.plans import ranks, skew
 
 
@@ -171,7 +173,7 @@ def test_vocabulary_over_the_bound(spark, monkeypatch):
     df = spark.createDataFrame([(1, "a a b"), (2, "a c"), (3, "b a")], "doc_id long, text string")
     expected = sorted(ft.bag_of_words(df, "doc_id", "text", 2).select("doc_id", "term", "tf").collect())
     assert expected == [(1, "a", 2), (1, "b", 1), (2, "a", 1), (3, "a", 1), (3, "b", 1)]
-    monkeypatch.setattr(ft, "MAX_VOCABULARY", 1)
+    monkeypatch.setattr(skew, "SMALL_ROWS", 1)
     assert sorted(ft.bag_of_words(df, "doc_id", "text", 2).select("doc_id", "term", "tf").collect()) == expected
     kept = ft.bag_of_words(df, "doc_id", "text", 10, min_df=3)
     assert {r.term for r in kept.collect()} == {"a"}
@@ -187,3 +189,69 @@ def test_split_reads_only_the_key(spark, small):
     text = plan(queries()["a2_holdout"](spark, small))
     assert "Exchange" not in text
     assert "text" not in text.split("ReadSchema")[1].splitlines()[0]
+
+
+ODD_NUMBERS = [None, float("nan"), float("inf"), float("-inf"), -0.0] + [i / 7 for i in range(40)] + [1.0] * 15 + [None] * 5 + [float("nan")] * 3
+
+
+def both_sides(monkeypatch, made):
+    """Rows of the same query below and above the size at which ranks are bucketed."""
+    found = []
+    for rows in (1_000_000, 10):
+        monkeypatch.setattr(ranks, "ROWS_PER_BUCKET", rows)
+        found.append(sorted(map(repr, made().collect())))
+    return found
+
+
+def test_scores_without_value_or_number(spark, monkeypatch):
+    rows = [(i, i % 3, v, i % 2) for i, v in enumerate(ODD_NUMBERS)]
+    df = spark.createDataFrame(rows, "id long, fold int, score double, label int")
+    for by in ([], ["fold"]):
+        plain, bucketed = both_sides(monkeypatch, lambda by=by: mt.score_curve(df, by))
+        assert plain == bucketed
+        plain, bucketed = both_sides(monkeypatch, lambda by=by: mt.ranking_metrics(df, by).selectExpr(*by, "round(auc, 9)", "round(average_precision, 9)"))
+        assert plain == bucketed
+    curve = mt.score_curve(df).agg(F.sum("pos"), F.sum("neg"), F.max("tp"), F.max("fp")).first()
+    assert (curve[0], curve[1]) == (curve[2], curve[3]) and curve[0] + curve[1] == len(rows)
+    assert 0 <= mt.roc_auc(df).first()["auc"] <= 1
+
+
+@pytest.mark.parametrize("kind", ["double", "date", "timestamp", "string", "long", "boolean"])
+def test_ordered_folds_of_any_key(spark, monkeypatch, kind):
+    base = spark.createDataFrame([(i, v) for i, v in enumerate(ODD_NUMBERS)], "id long, v double")
+    key = {
+        "double": F.col("v"),
+        "date": F.when(F.col("id") % 6 > 0, F.date_add(F.lit("1969-12-01").cast("date"), (F.col("id") * 3).cast("int"))),
+        "timestamp": F.when(F.col("id") % 6 > 0, F.timestamp_seconds(F.col("id") * 977 - 20_000)),
+        "string": F.when(F.col("id") % 6 > 0, F.concat(F.lit("é"), F.col("id").cast("string"))),
+        "long": F.when(F.col("id") % 6 > 0, F.col("id") - 30),
+        "boolean": F.when(F.col("id") % 6 > 0, F.col("id") % 2 == 0),
+    }[kind]
+    df = base.select(key.alias("k"), (F.col("id") % 2).alias("label"))
+    for made in (lambda: ranks.ordered_rank(df, "k", ["label"]), lambda: ex.assign_folds(df, 4, "k"), lambda: ranks.hash_rank(df, "k", 5).select("rank")):
+        plain, bucketed = both_sides(monkeypatch, made)
+        assert plain == bucketed and len(plain) == len(ODD_NUMBERS)
+
+
+def test_medians_and_epochs_on_both_sides(spark, monkeypatch):
+    df = spark.createDataFrame([(f"m{i % 2}" if i % 5 else None, i if i % 7 else None, v) for i, v in enumerate(ODD_NUMBERS)], "model string, epoch int, auc double")
+    plain, bucketed = both_sides(monkeypatch, lambda: runs.median(df, ["model"], "auc"))
+    assert plain == bucketed
+    logged = df.where("epoch IS NOT NULL")
+    plain, bucketed = both_sides(monkeypatch, lambda: runs.best_epoch(logged, "model", "epoch", "auc"))
+    assert plain == bucketed
+
+
+def test_vocabulary_without_one_task(spark):
+    frequency = spark.createDataFrame([(f"t{i:03d}", i % 7) for i in range(200)], "term string, df long")
+    for k in (1, 10, 57, 199, 200, 500):
+        made = ft.vocabulary(frequency, k)
+        plain = frequency.where("df >= 1").orderBy(F.desc("df"), "term").limit(k)
+        assert sorted(made.collect()) == sorted(plain.collect())
+        assert "TakeOrdered" not in plan(made)
+
+
+def test_all_terms_by_default(spark):
+    df = spark.createDataFrame([(1, "a b b"), (2, "c")], "doc_id long, text string")
+    assert ft.bag_of_words(df, "doc_id", "text").count() == 3
+    assert ft.bag_of_words(df, "doc_id", "text", vocab_size=1).count() == 1
