@@ -200,28 +200,29 @@ def _sample(model):
         found = []
         for t in texts:
             own = {f for w in set(reader.text(t)) for f in features(w)}
-            found.append((sorted(own),))
+            found.append((np.array(sorted(own), dtype="<u4").tobytes(),))
         return found
 
     return work
 
 
-def fit(rows: list[tuple[list[int], int]], share: float, rounds: int = 400, rate: float = 0.2, ridge: float = 2e-5) -> tuple[dict[int, float], float]:
+def fit(rows: list[tuple[bytes, int]], share: float, rounds: int = 400, rate: float = 0.2, ridge: float = 2e-5) -> tuple[dict[int, float], float]:
     """Weights of the features that tell the classes apart, and the bias for a share of toxic texts."""
     labels = np.array([y for _, y in rows])
     n1, n0 = int((labels == 1).sum()), int((labels == 0).sum())
     if not n1 or not n0:
         return {}, float(np.log(max(share, 1e-9) / max(1 - share, 1e-9)))
-    sizes = np.array([len(f) for f, _ in rows])
-    flat = np.concatenate([np.array(f, dtype=np.int64) for f, _ in rows] or [np.zeros(0, np.int64)])
+    sizes = np.array([len(f) // 4 for f, _ in rows])
+    flat = np.frombuffer(b"".join(f for f, _ in rows), dtype="<u4")
     of = np.repeat(labels, sizes)
     names, where = np.unique(flat, return_inverse=True)
+    del flat
     pos, neg = np.bincount(where, weights=of, minlength=len(names)), np.bincount(where, weights=1 - of, minlength=len(names))
     odds = np.log((pos + 0.5) / (n1 + 1)) - np.log((neg + 0.5) / (n0 + 1))
     gain = np.where((pos >= min(LEAST_TOXIC, n1)) & (odds > 1.0), odds * pos, 0.0)
     order = np.argsort(-gain, kind="stable")[:MOST_FEATURES]
     order = order[gain[order] > 0]
-    column = np.full(len(names), -1)
+    column = np.full(len(names), -1, dtype=np.int32)
     column[order] = np.arange(len(order))
     keep = column[where] >= 0
     doc, col = np.repeat(np.arange(len(rows)), sizes)[keep], column[where][keep]
@@ -258,7 +259,7 @@ def fit_labels(docs: DataFrame, labels: DataFrame, characters: np.ndarray, key:
     chosen = usable.filter("_label = 1").orderBy(*order).limit(SAMPLE_DOCS).unionByName(usable.filter("_label = 0").orderBy(*order).limit(SAMPLE_DOCS))
     texts = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).dropna()
     joined = texts.join(F.broadcast(chosen), "_key")  # two numbers for each of 2 * SAMPLE_DOCS rows at most
-    of = text_udf("struct<f:array<long>>", partial(_sample, characters))
+    of = text_udf("struct<f:binary>", partial(_sample, characters))
     found = joined.select("_key", "_label", of("_text")["f"].alias("f")).orderBy("_key", F.xxhash64("f")).limit(2 * SAMPLE_DOCS).collect()
     share = sizes.get(1, 0) / max(1, sum(sizes.values()))
     return fit([(r["f"], r["_label"]) for r in found], share)
