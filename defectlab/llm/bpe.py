@@ -56,6 +56,9 @@ def decode(ids: Column, path: str) -> Column:
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
-    """``docs`` with the columns ``_ids`` and ``_decoded`` added, made in one pass over the text; rows and other columns stay."""
+    """``docs`` with the columns ``_ids`` and ``_decoded`` added, made in one pass over the text; rows and other columns stay.
+
+    Columns of these names, and ``_both``, are replaced.
+    """
     both = text_udf("struct<ids:binary,decoded:binary>", partial(_both, path, pattern))(F.col(text))
     return docs.withColumn("_both", both).withColumns({"_ids": F.col("_both.ids"), "_decoded": F.col("_both.decoded")}).drop("_both")

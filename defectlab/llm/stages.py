@@ -6,6 +6,8 @@ repeated rows and other columns pass through as each operator defines it.
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,8 +31,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     repeated = docs.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL")
     if repeated.isEmpty():
         return _without(docs, _dropped(docs, "doc_id"), "doc_id")
-    numbered = store(docs.withColumn("_row_number", F.monotonically_increasing_id()), "numbered")
-    return _without(numbered, _dropped(numbered, "_row_number"), "_row_number").drop("_row_number")
+    row = f"row_{uuid.uuid4().hex}"
+    numbered = store(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    return _without(numbered, _dropped(numbered, row), row).drop(row)
 
 
 def _dropped(docs: DataFrame, key: str) -> DataFrame:
@@ -55,6 +58,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The last stage: what is left, with ids of the whole texts and the bytes they decode to."""
+    """The last stage: what is left, with ids of the whole texts and the bytes they decode to; columns of these names are replaced."""
+    docs = docs.drop("ids", "decoded")
     found = bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return found.withColumnRenamed("_ids", "ids").withColumnRenamed("_decoded", "decoded")
