@@ -19,6 +19,8 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,7 +52,7 @@ def _votes(members: DataFrame, state: DataFrame, shards: int) -> DataFrame:
     return members.join(by_group, "group").groupBy("node").agg(total.alias("votes"))
 
 
-def propagate(nodes: DataFrame, members: DataFrame, quotas: list[int], rounds: int = 8, seed: int = 1) -> tuple[DataFrame, list[int]]:
+def propagate(nodes: DataFrame, members: DataFrame, quotas: list[int], rounds: int = 12, seed: int = 1) -> tuple[DataFrame, list[int]]:
     """Labels for the linked ``nodes`` (column ``node``) and how many each shard then holds."""
     shards = len(quotas)
     state = nodes.select("node", F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(shards)).cast("int").alias("shard"))
@@ -58,13 +60,15 @@ def propagate(nodes: DataFrame, members: DataFrame, quotas: list[int], rounds: i
     for r in state.groupBy("shard").count().collect():
         loads[r["shard"]] = r["count"]
     for step in range(rounds):
-        room = [max(0, q - n) for q, n in zip(quotas, loads, strict=True)]
+        # Who passes is drawn, so a margin of two deviations keeps a shard from running over; an almost full one is closed.
+        room = [int(q - n - 2 * math.sqrt(max(0, q - n))) for q, n in zip(quotas, loads, strict=True)]
+        room = [r if r > q / 20 else 0 for r, q in zip(room, quotas, strict=True)]
         open_to = F.array(*[F.lit(x > 0) for x in room])
         allowed = F.transform("votes", lambda v, i: F.when((i == F.col("shard")) | F.get(open_to, i), v).otherwise(F.lit(-1).cast("long")))
         wish = (F.array_position(allowed, F.array_max(allowed)) - 1).cast("int")
         wishes = state.join(_votes(members, state, shards), "node").withColumn("wish", wish).drop("votes")
-        # From the third round on half of the nodes wait, so that two groups cannot change places for ever.
-        moves = F.lit(True) if step < 2 else F.pmod(F.xxhash64("node", F.lit(seed + step)), F.lit(2)) == 0
+        # Later on half of the nodes wait, so that two groups cannot change places for ever.
+        moves = F.lit(True) if step < 6 else F.pmod(F.xxhash64("node", F.lit(seed + step)), F.lit(2)) == 0
         wishes = store(wishes.withColumn("wish", F.when(moves, F.col("wish")).otherwise(F.col("shard"))), "wishes")
         flow = {(r["shard"], r["wish"]): r["count"] for r in wishes.groupBy("shard", "wish").count().collect()}
         coming = [sum(n for (s, t), n in flow.items() if t == to and s != to) for to in range(shards)]
@@ -84,7 +88,7 @@ def propagate(nodes: DataFrame, members: DataFrame, quotas: list[int], rounds: i
     return state, loads
 
 
-def shard(nodes: DataFrame, members: DataFrame, shards: int = 8, rounds: int = 8) -> DataFrame:
+def shard(nodes: DataFrame, members: DataFrame, shards: int = 8, rounds: int = 12) -> DataFrame:
     """``nodes`` (column ``node``, unique) with ``shard`` and ``slot``, gapless within its shard.
 
     ``members`` has ``node`` and ``group`` for the linked nodes.
@@ -114,7 +118,7 @@ def equal_text_links(nodes: DataFrame, digest: str = "digest") -> DataFrame:
     return nodes.select("node", F.col(digest).alias("group")).join(shared, "group")
 
 
-def shard_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int = 8, rounds: int = 8) -> DataFrame:
+def shard_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int = 8, rounds: int = 12) -> DataFrame:
     """Shards whose row counts differ by one at most, equal texts together as far as quotas allow."""
     body = F.coalesce(F.col(text), F.lit(""))
     nodes = docs.select(
