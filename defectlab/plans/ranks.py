@@ -27,6 +27,7 @@ BUCKET = "_bucket"
 NO_KEY = "\u0000"
 HISTOGRAM_ROWS = 200_000
 BOUNDARY_ROWS = 500_000
+TWINS_PER_BLOCK = 100_000
 
 
 def seeded_hash(seed: int | Column, key: str) -> Column:
@@ -175,29 +176,65 @@ def hash_holdout(
     The rows with the smallest seeded hashes are taken. Their last (hash, key)
     is found per group by narrowing a histogram of hash prefixes; the table
     itself is then only compared with that value, without any shuffle.
+
+    Keys may be NULL or repeat. Where only some of the rows with the last key
+    may be taken, a hash of the whole row decides in the same way; of rows that
+    are equal in all columns any may stand for another, so these are written
+    out anew, as many for each side as there have to be.
     """
     by = by or []
+    kind = df.schema[key].dataType
     hashed = df.select(*by, F.col(key).alias("_key"), seeded_hash(seed, key).alias("_hash"))
-    cuts = _cuts(hashed, by, fraction)
+    cuts = _cuts(hashed, by, lambda sizes: {g: math.ceil(n * fraction) for g, n in sizes.items()})
     if cuts is None:
         return _ranked_holdout(df, key, fraction, seed, by, name, labels)
     placed = F.struct(seeded_hash(seed, key).alias("h"), F.col(key).alias("k"))
-    if not by:
-        if not cuts:
-            return df.withColumn(name, F.lit(labels[1]))
-        cut = F.struct(F.lit(cuts[0]["_hash"]).alias("h"), F.lit(cuts[0]["_key"]).alias("k"))
-        return df.withColumn(name, F.when(placed <= cut, labels[0]).otherwise(labels[1]))
-    # One row per group, no more than HISTOGRAM_ROWS of them.
-    small = df.sparkSession.createDataFrame(cuts, hashed.schema)
-    marks = small.select(*by, F.struct("_hash", "_key").alias("_cut"))
-    marked = same_group_join(df, F.broadcast(marks), by, "left").withColumn(
-        name, F.when(placed <= F.col("_cut"), labels[0]).otherwise(labels[1])
-    )
-    return marked.select(*df.columns, name)
-
-
-def _cuts(hashed: DataFrame, by: list[str], fraction: float):
-    """Per group the (hash, key) of the last held-out row, or None if too many groups."""
+    cut = lambda: F.struct(F.col("_cut_hash").alias("h"), F.col("_cut_key").cast(kind).alias("k"))
+    held = F.coalesce(placed <= cut(), F.lit(False))
+    marked = _with_cuts(df, cuts, by, hashed.schema)
+    if all(c["_take"] == c["_same"] for c in cuts):
+        return marked.withColumn(name, F.when(held, labels[0]).otherwise(labels[1])).select(*df.columns, name)
+
+    # Some keys at the cut repeat: their rows go by a hash of the whole row.
+    tied = F.coalesce((placed == cut()) & (F.col("_cut_take") < F.col("_cut_same")), F.lit(False))
+    row_hash = F.md5(F.concat(F.lit("row:"), F.to_json(F.struct(*df.columns))))
+    ties = marked.where(tied)
+    parts = ties.select(*by, row_hash.alias("_key"), row_hash.alias("_hash"))
+    wanted = {tuple(c[b] for b in by): c["_take"] for c in cuts if c["_take"] < c["_same"]}
+    inner = _cuts(parts, by, lambda sizes: {g: wanted[g] for g in sizes})
+    if inner is None:
+        return _ranked_holdout(df, key, fraction, seed, by, name, labels)
+    settled = marked.where(~tied).withColumn(name, F.when(held, labels[0]).otherwise(labels[1])).select(*df.columns, name)
+    second = _with_cuts(ties.select(*df.columns), inner, by, parts.schema).withColumn("_row", row_hash)
+    twins = (F.col("_row") == F.col("_cut_hash")) & (F.col("_cut_take") < F.col("_cut_same"))
+    apart = second.where(~twins).withColumn(name, F.when(F.col("_row") <= F.col("_cut_hash"), labels[0]).otherwise(labels[1]))
+    one = second.where(twins).groupBy("_row", "_cut_take", "_cut_same").agg(F.first(F.struct(*df.columns)).alias("r"))
+    blocks = one.withColumn("_block", F.explode(F.expr(f"sequence(0, (_cut_same - 1) div {TWINS_PER_BLOCK})")))
+    last = F.least(F.col("_cut_same"), (F.col("_block") + 1) * TWINS_PER_BLOCK)
+    each = blocks.withColumn("_i", F.explode(F.sequence(F.col("_block") * TWINS_PER_BLOCK + 1, last)))
+    copies = each.select("r.*", F.when(F.col("_i") <= F.col("_cut_take"), labels[0]).otherwise(labels[1]).alias(name))
+    return settled.unionByName(apart.select(*df.columns, name)).unionByName(copies)
+
+
+def _with_cuts(df: DataFrame, cuts: list[dict], by: list[str], schema: T.StructType) -> DataFrame:
+    """``df`` with the cut of each row's group; one row per group is broadcast, no more than HISTOGRAM_ROWS."""
+    fields = [schema[c] for c in by] + [
+        T.StructField("_cut_hash", T.StringType()), T.StructField("_cut_key", schema["_key"].dataType),
+        T.StructField("_cut_take", T.LongType()), T.StructField("_cut_same", T.LongType()),
+    ]
+    rows = [(*[c[b] for b in by], c["_hash"], c["_key"], c["_take"], c["_same"]) for c in cuts]
+    if by:
+        known = df.sparkSession.createDataFrame(rows, T.StructType(fields))
+        return same_group_join(df, F.broadcast(known), by, "left")
+    values = rows[0] if rows else (None,) * 4
+    return df.select("*", *[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(values, fields)])
+
+
+def _cuts(hashed: DataFrame, by: list[str], wanted) -> list[dict] | None:
+    """Per group the (hash, key) of the last held-out row, how many rows have it and how many of them are taken.
+
+    ``wanted`` maps group sizes to numbers of rows. None if there are too many groups.
+    """
     digits = HASH_DIGITS
     counts = hashed.groupBy(*by, F.substring("_hash", 1, digits).alias("_p")).agg(F.count(F.lit(1)).alias("n"))
     rows = bounded_rows(counts, HISTOGRAM_ROWS)
@@ -207,22 +244,26 @@ def _cuts(hashed: DataFrame, by: list[str], fraction: float):
     for r in rows:
         group = tuple(r[c] for c in by)
         sizes[group] = sizes.get(group, 0) + r["n"]
-    need = {g: math.ceil(n * fraction) for g, n in sizes.items() if math.ceil(n * fraction) > 0}
+    need = {g: n for g, n in wanted(sizes).items() if n > 0}
     if not need:
         return []
     while True:
         need, prefix, population = _narrow(rows, by, need)
         inside = _within(hashed, by, prefix, need)
-        if population <= BOUNDARY_ROWS or digits >= 30:
+        if population <= BOUNDARY_ROWS or digits >= 32:
             break
         digits += HASH_DIGITS
         finer = inside.groupBy(*by, F.substring("_hash", 1, digits).alias("_p")).agg(F.count(F.lit(1)).alias("n"))
         rows = bounded_rows(finer, HISTOGRAM_ROWS)
         if rows is None:
             return None
+    # Equal keys are counted first, so that copies of one key are one row here.
+    keyed = inside.groupBy(*by, "_need", "_hash", "_key").agg(F.count(F.lit(1)).alias("_same"))
     order = Window.partitionBy(*by).orderBy("_hash", "_key")
-    last = inside.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") == F.col("_need"))
-    return last.select(*hashed.columns).collect()  # one row per group
+    upto = F.sum("_same").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    reached = keyed.withColumn("_upto", upto).where((F.col("_upto") >= F.col("_need")) & (F.col("_upto") - F.col("_same") < F.col("_need")))
+    taken = (F.col("_need") - F.col("_upto") + F.col("_same")).alias("_take")
+    return [r.asDict() for r in reached.select(*by, "_hash", "_key", taken, "_same").collect()]  # one row per group
 
 
 def _narrow(rows, by, need):

@@ -255,3 +255,30 @@ def test_all_terms_by_default(spark):
     df = spark.createDataFrame([(1, "a b b"), (2, "c")], "doc_id long, text string")
     assert ft.bag_of_words(df, "doc_id", "text").count() == 3
     assert ft.bag_of_words(df, "doc_id", "text", vocab_size=1).count() == 1
+
+
+@pytest.mark.parametrize("by", [[], ["label"]])
+@pytest.mark.parametrize(("histogram", "boundary"), [(200_000, 500_000), (200_000, 0), (1, 0)])
+@pytest.mark.parametrize("seed", range(4))
+def test_holdout_of_repeated_and_absent_keys(spark, monkeypatch, by, histogram, boundary, seed):
+    """Half of the rows share one key, some have none, some are equal in all columns."""
+    if histogram == 1 and not by:
+        pytest.skip("one group never has too many prefixes")
+    monkeypatch.setattr(ranks, "HISTOGRAM_ROWS", histogram)
+    monkeypatch.setattr(ranks, "BOUNDARY_ROWS", boundary)
+    monkeypatch.setattr(ranks, "TWINS_PER_BLOCK", 7)
+    rows = [("hot", i % 3, f"row {i}") for i in range(30)] + [("twin", 1, "all equal")] * 20 + [(None, 0, "no key")] * 10
+    rows += [(None, None, f"no key {i}") for i in range(10)] + [(f"k{i}", i % 2, "x") for i in range(30)]
+    df = spark.createDataFrame(rows, "k string, label int, text string").repartition(4)
+    made = ex.holdout(df, 0.3, seed, "k", by).collect()
+    assert sorted(map(repr, [tuple(r)[:3] for r in made])) == sorted(map(repr, rows))
+    groups = {r["label"] for r in made} if by else {0}
+    for g in groups:
+        own = [r for r in made if not by or r["label"] == g]
+        assert sum(r["split"] == "test" for r in own) == math.ceil(len(own) * 0.3)
+
+
+def test_holdout_where_every_key_is_the_same(spark):
+    for rows in ([("a", i) for i in range(100)], [("a", 1)] * 100, [(None, 1)] * 100):
+        made = ex.holdout(spark.createDataFrame(rows, "k string, v long"), 0.25, 3, "k").collect()
+        assert len(made) == 100 and sum(r["split"] == "test" for r in made) == 25
