@@ -200,14 +200,32 @@ def overlap_needed(a: Column, b: Column, percent: int) -> Column:
     return F.ceil((F.lit(percent) * (a + b)) / F.lit(100 + percent) - F.lit(1e-9))
 
 
-def _may_link(percent: int) -> Column:
-    """Sizes and places of a shared n-gram that a link allows, for columns of ``x`` and ``y``."""
+def _may_link(percent: int, matches: Column | int | None = None) -> Column:
+    """Sizes and places of a shared n-gram that a link allows, for columns of ``x`` and ``y``.
+
+    Without ``matches`` the n-gram may be any of those the pair has to share;
+    with 1 only the first of them, which stands before all others.
+    """
     need = overlap_needed(F.col("x.n"), F.col("y.n"), percent)
-    least = F.least("x.wanted", "y.wanted")
+    least = F.least("x.wanted", "y.wanted") if matches is None else F.lit(matches)
     sizes = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
     return sizes & (F.col("x.pos") < F.col("x.n") - need + least) & (F.col("y.pos") < F.col("y.n") - need + least)
 
 
+def _sharing_enough(pairs: DataFrame, active: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose prefixes share as many n-grams as both want, counted on the prefixes of the pairs' own nodes."""
+    own = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+    prefix = F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("prefix")
+    nodes = active.join(own, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("wanted").alias("wanted"), prefix)
+    x, y = nodes.alias("x"), nodes.alias("y")
+    both = pairs.join(x, F.col("u") == F.col("x.node")).join(y, F.col("v") == F.col("y.node"))
+    least = F.least("x.wanted", "y.wanted")
+    free = least - overlap_needed(F.col("x.n"), F.col("y.n"), percent)
+    first = F.transform(F.filter("x.prefix", lambda t: t["pos"] < F.col("x.n") + free), lambda t: t["token"])
+    second = F.transform(F.filter("y.prefix", lambda t: t["pos"] < F.col("y.n") + free), lambda t: t["token"])
+    return both.filter(F.size(F.array_intersect(first, second)) >= least).select("u", "v")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs ``(u, v)`` that reach the threshold on whole sets."""
     left = sets.select(F.col("node").alias("u"), F.col("hashes").alias("a"))
@@ -261,12 +279,10 @@ def link_components(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "
     split = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("token")
     apart = placed.join(split, "token")
     across = apart.alias("x").join(apart.alias("y"), "token").filter(
-        (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & _may_link(percent)
-    )
-    rest = across.groupBy(F.col("x.node").alias("u"), F.col("y.node").alias("v")).agg(
-        F.count("*").alias("hot"), F.first(F.least("x.wanted", "y.wanted")).alias("least")
+        (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & _may_link(percent, 1)
     )
-    rest = rest.filter("hot >= least").select("u", "v").join(pairs, ["u", "v"], "left_anti")
+    rest = store(across.select(F.col("x.node").alias("u"), F.col("y.node").alias("v")).distinct().join(pairs, ["u", "v"], "left_anti"), "rest")
+    rest = _sharing_enough(rest, active, percent)
     links = store(_verified(rest, sets, percent), "links")
     more = first.select(F.col("node").alias("u"), F.col("component").alias("v"))
     final = components(more.unionByName(links)) if not links.isEmpty() else first
