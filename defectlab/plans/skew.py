@@ -8,10 +8,10 @@ from pyspark.sql import types as T
 
 from defectlab.session import cut_lineage
 
-# Keys with more rows than this are split up. Only the HOT_KEYS largest are, so
-# any other key holds less than 1/HOT_KEYS of all rows.
+# Keys with more rows than this are split up; there are at most rows / HOT_ROWS of them.
 HOT_ROWS = 1_000_000
-HOT_KEYS = 512
+# Rows of the sample that names the keys worth counting.
+SAMPLE_ROWS = 10_000_000
 
 # A summary table is broadcast up to this size, and joined otherwise.
 SMALL_ROWS = 500_000
@@ -35,16 +35,20 @@ def skew_join(
 ) -> DataFrame:
     """Equi-join ``facts`` with ``dim`` (unique on ``on``) without hot partitions.
 
-    The largest keys are looked up in ``weights`` (``on`` + ``n``: fact rows per
-    key), which is counted from the key columns when not given. Without a hot
-    key this is a plain join. Otherwise the fact rows of hot keys are split by a
-    hash of ``spread`` into pieces of about HOT_ROWS, and only their ``dim`` rows
-    are repeated, once per piece. Supports inner, left, left_semi and left_anti.
+    Hot keys are looked up in ``weights`` (``on`` + ``n``: fact rows per key).
+    When that is not given, a table of no more than HOT_ROWS rows is joined as it
+    is; of a larger one a sample names the keys that may be hot, and only these
+    are counted. Without a hot key this is a plain join. Otherwise the fact rows
+    of hot keys are split by a hash of ``spread`` into pieces of about HOT_ROWS,
+    and only their ``dim`` rows are repeated, once per piece. Supports inner,
+    left, left_semi and left_anti.
     """
     if weights is None:
-        weights = facts.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
+        weights = _likely_hot(facts, on)
+        if weights is None:
+            return facts.join(dim, on, how)
     heavy = weights.select(*on, "n").where(F.col("n") > HOT_ROWS)
-    hot = heavy.orderBy(F.desc("n")).limit(HOT_KEYS).collect()
+    hot = heavy.collect()
     if not hot:
         return facts.join(dim, on, how)
     marks = [(*r[:-1], -(-r["n"] // HOT_ROWS)) for r in hot]
@@ -56,6 +60,19 @@ def skew_join(
     return salted.drop("_pieces").join(repeated.drop("_pieces"), [*on, "_salt"], how).drop("_salt")
 
 
+def _likely_hot(facts: DataFrame, on: list[str]) -> DataFrame | None:
+    """Exact row counts of the keys that a sample shows often; None for a table too small to have one."""
+    rows = facts.count()
+    if rows <= HOT_ROWS:
+        return None
+    share = min(1.0, SAMPLE_ROWS / rows)
+    keys = facts.select(*on)
+    drawn = keys.sample(share, seed=1) if share < 1 else keys
+    often = drawn.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > HOT_ROWS * share / 2).drop("_n")
+    known = facts.sparkSession.createDataFrame(often.collect(), often.schema)  # 2 * rows / HOT_ROWS keys at most
+    return same_group_join(keys, F.broadcast(known), on, "left_semi").groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
+
+
 def same_group_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """Join in which NULL keys meet, as they do in grouping."""
     named = right.withColumnsRenamed({c: f"_on_{c}" for c in on})
@@ -69,7 +86,7 @@ def group_key(by: list[str]) -> Column:
 
 
 def _with_pieces(df: DataFrame, known: DataFrame, on: list[str]) -> DataFrame:
-    """Attach the piece count of hot keys; at most HOT_KEYS rows are broadcast."""
+    """Attach the piece count of hot keys; at most rows / HOT_ROWS of them are broadcast."""
     return same_group_join(df, F.broadcast(known), on, "left")
 
 

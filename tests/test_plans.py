@@ -282,3 +282,29 @@ def test_holdout_where_every_key_is_the_same(spark):
     for rows in ([("a", i) for i in range(100)], [("a", 1)] * 100, [(None, 1)] * 100):
         made = ex.holdout(spark.createDataFrame(rows, "k string, v long"), 0.25, 3, "k").collect()
         assert len(made) == 100 and sum(r["split"] == "test" for r in made) == 25
+
+
+def test_all_hot_keys_are_split(spark, monkeypatch):
+    """600 keys above the limit: no piece of the join holds more than about HOT_ROWS rows of one key."""
+    monkeypatch.setattr(skew, "HOT_ROWS", 10)
+    facts = spark.range(600 * 40).select("id", (F.col("id") % 600).alias("k"))
+    dim = spark.range(600).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    made = skew.skew_join(facts, dim, ["k"], "inner", ["id"])
+    assert made.count() == 600 * 40 and made.where("v <> 2 * k").count() == 0
+    text = plan(made)
+    assert "_salt" in text
+    hot = skew._likely_hot(facts, ["k"])
+    assert hot.count() == 600 and hot.where("n = 40").count() == 600
+
+
+def test_small_tables_are_joined_as_they_are(spark):
+    facts = spark.range(100).withColumn("k", F.col("id") % 5)
+    dim = spark.range(5).select(F.col("id").alias("k"))
+    assert "_salt" not in plan(skew.skew_join(facts, dim, ["k"], "inner", ["id"]))
+
+
+def test_a_sample_names_the_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(skew, "HOT_ROWS", 500)
+    monkeypatch.setattr(skew, "SAMPLE_ROWS", 1500)
+    facts = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("k"))
+    assert [(r["k"], r["n"]) for r in skew._likely_hot(facts, ["k"]).where("n > 500").collect()] == [(-1, 1000)]
