@@ -5,13 +5,12 @@ each other (an ordinary edge is a group of two), so a group of any size costs
 one row per member and its votes one row, never a pair.
 
 A round lets every linked row look at how its groups' members are spread over
-the shards. It wants to go where most of them are, of equal shards the lowest,
-and only where there is room or somebody wants to come back. How many may pass
-from one shard to another is known from a count of at most ``shards ** 2``
-numbers; who passes is drawn by a seeded hash. Each round is written to the
-shared folder. At the end quotas are met exactly: rows above a shard's quota
-and rows without links fill what others have free. Shard sizes differ by one
-row at most.
+the shards. It wants to go where most of them are, of equal shards to one with
+room, then to the lowest, and never into a full one. How many may pass from one
+shard to another is known from a count of at most ``shards ** 2`` numbers; who
+passes goes by a hash. Each round is written to the shared folder. At the end
+quotas are met exactly: rows above a shard's quota and rows without links fill
+what others have free. Shard sizes differ by one row at most.
 
 NULL texts or groups link nothing. Repeated rows are rows of their own. An
 empty table gives an empty result.
@@ -19,8 +18,6 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,6 +49,20 @@ def _votes(members: DataFrame, state: DataFrame, shards: int) -> DataFrame:
     return members.join(by_group, "group").groupBy("node").agg(total.alias("votes"))
 
 
+def passes(flow: dict[tuple[int, int], int], room: list[int]) -> dict[tuple[int, int], int]:
+    """How many rows may pass between two shards: those that change places, and as many as the room takes, shared out by demand."""
+    back = {(s, t): min(n, flow.get((t, s), 0)) for (s, t), n in flow.items() if s != t}
+    found = dict(back)
+    for t, free in enumerate(room):
+        asking = sorted(((n - back[s, t], s) for (s, to), n in flow.items() if to == t and s != t), reverse=True)
+        wanted, left = sum(n for n, _ in asking), max(0, free)
+        for n, s in asking:
+            given = min(n, left, -(-max(0, free) * n // max(1, wanted)))
+            found[s, t] += given
+            left -= given
+    return found
+
+
 def propagate(nodes: DataFrame, members: DataFrame, quotas: list[int], rounds: int = 12, seed: int = 1) -> tuple[DataFrame, list[int]]:
     """Labels for the linked ``nodes`` (column ``node``) and how many each shard then holds."""
     shards = len(quotas)
@@ -60,11 +71,12 @@ def propagate(nodes: DataFrame, members: DataFrame, quotas: list[int], rounds: i
     for r in state.groupBy("shard").count().collect():
         loads[r["shard"]] = r["count"]
     for step in range(rounds):
-        # Who passes is drawn, so a margin of two deviations keeps a shard from running over; an almost full one is closed.
-        room = [int(q - n - 2 * math.sqrt(max(0, q - n))) for q, n in zip(quotas, loads, strict=True)]
-        room = [r if r > q / 20 else 0 for r, q in zip(room, quotas, strict=True)]
+        room = [q - n for q, n in zip(quotas, loads, strict=True)]
         open_to = F.array(*[F.lit(x > 0) for x in room])
-        allowed = F.transform("votes", lambda v, i: F.when((i == F.col("shard")) | F.get(open_to, i), v).otherwise(F.lit(-1).cast("long")))
+        allowed = F.transform(
+            "votes",
+            lambda v, i: F.when(F.get(open_to, i), 2 * v + 1).when(i == F.col("shard"), 2 * v).otherwise(F.lit(-1).cast("long")),
+        )
         wish = (F.array_position(allowed, F.array_max(allowed)) - 1).cast("int")
         wishes = state.join(_votes(members, state, shards), "node").withColumn("wish", wish).drop("votes")
         # Later on half of the nodes wait, so that two groups cannot change places for ever.
@@ -74,14 +86,13 @@ def propagate(nodes: DataFrame, members: DataFrame, quotas: list[int], rounds: i
         coming = [sum(n for (s, t), n in flow.items() if t == to and s != to) for to in range(shards)]
         if not any(coming):
             break
-        chance = F.lit(0.0)
-        for (s, t), n in flow.items():
-            if s != t:
-                back = min(n, flow.get((t, s), 0))
-                share = min(1.0, (back + room[t] * n / max(1, coming[t])) / n)
-                chance = F.when((F.col("shard") == s) & (F.col("wish") == t), F.lit(share)).otherwise(chance)
-        draw = F.pmod(F.xxhash64("node", F.lit(seed + 1000 + step)), F.lit(1 << 20)) / (1 << 20)
-        state = store(wishes.select("node", F.when(draw < chance, F.col("wish")).otherwise(F.col("shard")).alias("shard")), "labels")
+        passing = F.lit(0).cast("long")
+        for (s, t), n in passes(flow, room).items():
+            passing = F.when((F.col("shard") == s) & (F.col("wish") == t), F.lit(n)).otherwise(passing)
+        stay = wishes.filter(F.col("wish") == F.col("shard")).select("node", "shard")
+        moving = numbered(wishes.filter(F.col("wish") != F.col("shard")), sum(coming), F.col("shard") * shards + F.col("wish"), "node")
+        moved = moving.select("node", F.when(F.col("pos") < passing, F.col("wish")).otherwise(F.col("shard")).alias("shard"))
+        state = store(stay.unionByName(moved), "labels")
         loads = [0] * shards
         for r in state.groupBy("shard").count().collect():
             loads[r["shard"]] = r["count"]
