@@ -31,9 +31,9 @@ def text_udf(kind: str, start: Callable[[], Callable[[list], list]]) -> Callable
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         work = start()
         for batch in batches:
-            parts = (batch.slice(i, SLICE_ROWS).to_pylist() for i in range(0, max(1, len(batch)), SLICE_ROWS))
-            made = [tuples_to_struct(work(part), kind) for part in parts]
-            yield made[0] if len(made) == 1 else pa.concat_arrays(made)
+            for i in range(0, max(1, len(batch)), SLICE_ROWS):  # only all rows together have to be as many as came in
+                yield tuples_to_struct(work(batch.slice(i, SLICE_ROWS).to_pylist()), kind)
+        pa.default_memory_pool().release_unused()
 
     return run
 

@@ -39,7 +39,7 @@ MOST_MATCHES = 8
 VERIFY_COST = 20.0
 SKETCH_BITS = 21
 SEGMENTS = 64
-MOST_WORDS = 300_000
+MOST_WORDS = 100_000
 SLICE = 256
 NO_KEY = -(1 << 63)
 
@@ -85,9 +85,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _slices(batches: Iterator[pa.RecordBatch]):
+    """Columns of a few rows at a time; a task leaves no table of words behind in its worker."""
     for batch in batches:
         for i in range(0, batch.num_rows, SLICE):
             yield [c.to_pylist() for c in batch.slice(i, SLICE).columns]
+    _WORDS.clear()
+    pa.default_memory_pool().release_unused()
 
 
 def _sketch(n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

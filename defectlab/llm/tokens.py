@@ -18,8 +18,9 @@ import regex
 from tokenizers import Tokenizer
 from tokenizers.models import BPE
 
-MOST_CHUNKS = 150_000
-MOST_PIECES = 300_000
+# Entries of a worker's tables: byte-level workers also hold a large vocabulary.
+MOST_CHUNKS, MOST_PIECES = 100_000, 200_000
+MOST_WORD_CHUNKS, MOST_WORD_PIECES = 300_000, 500_000
 
 # Unicode's White_Space, which is \s of the published pattern.
 BLANK = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -65,12 +66,14 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 def merges_of(ranks: dict[bytes, int]) -> list[tuple[str, str]]:
     """All pairs whose join is a token, by that token's rank, so that the lowest rank is merged first wherever it arises."""
+    written = {token: to_alphabet(token) for token in ranks}
     found = []
-    for token, rank in ranks.items():
+    for token in sorted(ranks, key=ranks.__getitem__):
         for cut in range(1, len(token)):
-            if token[:cut] in ranks and token[cut:] in ranks:
-                found.append((rank, cut, to_alphabet(token[:cut]), to_alphabet(token[cut:])))
-    return [(a, b) for _, _, a, b in sorted(found)]
+            left, right = written.get(token[:cut]), written.get(token[cut:])
+            if left is not None and right is not None:
+                found.append((left, right))
+    return found
 
 
 def decode(bytes_of: dict[int, bytes], ids: bytes) -> bytes:
@@ -125,8 +128,8 @@ class WordLevel:
         self.split = lambda chunk: [p for p, _ in split.pre_tokenize_str(chunk)]
         self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
         self.simple = self._splits_alike()
-        self.pieces = _Table(self._piece, MOST_PIECES)
-        self.chunks = _Table(self._chunk, MOST_CHUNKS)
+        self.pieces = _Table(self._piece, MOST_WORD_PIECES)
+        self.chunks = _Table(self._chunk, MOST_WORD_CHUNKS)
 
     def _splits_alike(self) -> bool:
         """True when the file cuts as the pattern above does; else every chunk goes through the whole library."""
