@@ -90,3 +90,29 @@ def test_vectors_and_slices(spark):
 def test_predictions_carry_a_score(table):
     model = md.forest(5, seed=1, max_depth=4).fit(table)
     assert md._scored(model, table, "id").where(~F.col("score").between(0, 1)).count() == 0
+
+
+def test_queries_do_the_whole_job(spark, small, monkeypatch):
+    """All terms of the scripts, the given trees, depth and folds: nothing is cut in the queries."""
+    from defectlab import fixtures as fx
+    from defectlab.catalog import models as queries
+
+    terms = ft.document_frequency(fx.scripts(spark, small), "content").count()
+    vectors = queries._vectors(spark, small)
+    assert vectors.first()["features"].size == terms > 500
+
+    made, folds, real = [], [], md.forest
+
+    def forest(*args, **named):
+        made.append(real(*args, **named))
+        return made[-1]
+
+    monkeypatch.setattr(queries, "_vectors", lambda *_: vectors)
+    monkeypatch.setattr(md, "forest", forest)
+    monkeypatch.setattr(md, "cross_val_predict", lambda placed, model, key, k: folds.append(k) or placed.selectExpr("label", "label AS prediction", "0.5D AS score"))
+    monkeypatch.setattr(md, "_scored", lambda model, df, key: df.selectExpr("label", "label AS prediction", "0.5D AS score"))
+    monkeypatch.setattr(md.RandomForestClassifier, "fit", lambda self, df: type("Fitted", (), {"transform": lambda _, rows: rows.selectExpr("*", "0.0D AS prediction")})())
+    for name in ("m6_forest", "m7_cross_val_predict", "m8_iterate", "m9_holdout"):
+        getattr(queries, name)(spark, small)
+    assert {(m.getNumTrees(), m.getMaxDepth(), m.getMinInstancesPerNode()) for m in made} == {(100, 30, 1)}
+    assert len(made) == 6 and set(folds) == {10}
