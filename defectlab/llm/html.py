@@ -4,17 +4,23 @@ Tokens are opening tags with their classes and path, and text blocks with their
 path. Two tokens of a host share an occurrence vector when they occur equally
 often on every one of its pages; a vector is kept as the number of its pages
 and the xor of a hash of page and count, so no host is ever gathered in one
-task. Tokens with equal vectors form a class. A class is valid when it has at
-least ``LEAST_TOKENS`` tokens and stands on ``LEAST_PAGES`` pages and on
-``LEAST_SHARE`` of the host's. Valid classes, nested by the elements of their
-tags, are the template; what lies between their tokens are slots. Hosts with
-fewer pages have no valid class, there every element bounds a slot.
-
-Slots below menus, headers, footers, sidebars, notices, adverts, forms and
-comments are left out, as told by the elements and class words around them.
-Where a page marks its article (``article``, ``main``), the remaining slots
-inside it are the text, whatever they repeat; elsewhere text that is itself
-part of the template is left out too. Every other slot is returned.
+task. A tag belongs to a layout when it stands on ``LEAST_PAGES`` pages, a text
+when it also stands on ``LEAST_SHARE`` of those that hold the element around it,
+so that layouts of other elements do not count against it. Tokens of a layout
+with equal vectors form a class. A second pass over the pages keeps the tokens that have one place
+in the order of their class, and one place between the tokens of the class
+around it (that of the nearest element outside of the class), on all pages.
+What stays together there and has ``LEAST_TOKENS`` tokens is a valid class,
+nested in that place. Valid classes are the template; each of their tokens ends
+one slot and begins the next.
+
+Text that is itself part of the template is left out. Slots below menus,
+headers, footers, sidebars, notices, adverts, forms and comments are left out,
+as told by the elements and class words around them. Where a page marks its
+article (``article``, ``main``), only slots inside it are the text. An article
+whose text would be template for more than ``MOST_TAKEN`` is a copy of others
+on its host and stays whole. Hosts with fewer pages have no valid class, there
+a page is one slot. Every other slot is returned.
 
 NULL and empty pages give an empty text, NULL or odd addresses are a host of
 their own, pages of any length are read whole, repeated rows give equal
@@ -38,6 +44,7 @@ from defectlab.llm.common import BROADCAST_BYTES, store, text_udf, to_batch
 LEAST_TOKENS = 3
 LEAST_PAGES = 3
 LEAST_SHARE = 0.5
+MOST_TAKEN = 0.5
 
 SKIPPED = re.compile(
     r"<!--.*?-->|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>"
@@ -66,10 +73,10 @@ HOLDERS = frozenset("ul ol menu dl table tbody thead tfoot select article main s
 
 
 class Element:
-    __slots__ = ("tag", "chrome", "main", "path", "heading", "site")
+    __slots__ = ("tag", "chrome", "main", "path", "heading", "site", "event")
 
-    def __init__(self, tag, chrome, main, path, heading, site):
-        self.tag, self.chrome, self.main, self.path, self.heading, self.site = tag, chrome, main, path, heading, site
+    def __init__(self, tag, chrome, main, path, heading, site, event):
+        self.tag, self.chrome, self.main, self.path, self.heading, self.site, self.event = tag, chrome, main, path, heading, site, event
 
 
 @lru_cache(maxsize=20_000)
@@ -94,11 +101,14 @@ def _token(path: str, text: str = "") -> int:
     return xxhash.xxh64_intdigest(f"{path}\n{text}") - (1 << 63)
 
 
-def parse(page: str | None) -> tuple[list[int], list[tuple[str, int, bool, bool]]]:
-    """Tokens of the opening tags, and the blocks ``(text, token, left out, inside an article)`` in page order."""
+def parse(page: str | None) -> list[tuple[int, int, str, bool, bool]]:
+    """Opening tags and blocks ``(token, event around it, text, left out, inside an article)`` in page order.
+
+    Tags have an empty text; -1 stands for the page around the outermost ones.
+    """
     page = SKIPPED.sub(" ", page or "")
-    root = Element("", False, False, "", False, False)
-    stack, tokens, blocks, held = [root], [], [], []
+    root = Element("", False, False, "", False, False, -1)
+    stack, events, held = [root], [], []
 
     def close_block() -> None:
         text = " ".join(unescape("".join(held)).split()) if held else ""
@@ -106,7 +116,7 @@ def parse(page: str | None) -> tuple[list[int], list[tuple[str, int, bool, bool]
         if text:
             top = stack[-1]
             out = top.chrome or (top.site and not (top.main and top.heading))
-            blocks.append((text, _token(top.path, text), out, top.main))
+            events.append((_token(top.path, text), top.event, text, out, top.main))
 
     def pop_to(index: int) -> None:
         del stack[index:]
@@ -150,15 +160,15 @@ def parse(page: str | None) -> tuple[list[int], list[tuple[str, int, bool, bool]
         top = stack[-1]
         path = f"{top.path}>{name}" if block else top.path
         if block:
-            tokens.append(_token(path))
+            events.append((_token(path), top.event, "", False, False))
         if tag not in VOID and not attributes.endswith("/"):
             stack.append(Element(
                 tag, top.chrome or chrome, top.main or (main and not (top.chrome or chrome)), path,
-                top.heading or tag in ("h1", "h2", "h3", "h4", "h5", "h6"), top.site or site,
+                top.heading or tag in ("h1", "h2", "h3", "h4", "h5", "h6"), top.site or site, len(events) - 1 if block else top.event,
             ))
     held.append(page[at:])
     close_block()
-    return tokens, blocks
+    return events
 
 
 def host_of(url: str | None) -> str:
@@ -167,45 +177,119 @@ def host_of(url: str | None) -> str:
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per page and distinct token its count, as a hash; token 0 stands for the page itself."""
+    """Per page and distinct token its count, as a hash, and the element it is measured by; token 0 stands for the page itself."""
     for batch in batches:
         for start in range(0, batch.num_rows, 256):
             part = batch.slice(start, 256)
-            hosts, names, hashes = [], [], []
+            hosts, names, around, hashes = [], [], [], []
             for page_id, url, page in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                tokens, blocks = parse(page)
-                counts: dict[int, int] = {0: 1}
-                for t in tokens:
-                    counts[t] = counts.get(t, 0) + 1
-                for _, t, _, main in blocks:
-                    if not main:  # inside an article text is never template
-                        counts[t] = counts.get(t, 0) + 1
+                events = parse(page)
+                counts, within = {0: 1}, {0: 0}
+                for token, up, text, *_ in events:
+                    counts[token] = counts.get(token, 0) + 1
+                    within[token] = token if not text else events[up][0] if up >= 0 else 0
                 host, name = host_of(url), f"{page_id}" if page_id is not None else f"?{xxhash.xxh64_hexdigest(page or '')}"
                 hosts += [host] * len(counts)
                 names += counts
+                around += within.values()
                 hashes += [xxhash.xxh64_intdigest(f"{name}:{n}") - (1 << 63) for n in counts.values()]
-            yield to_batch([hosts, names, hashes], "host string,token long,hash long")
+            yield to_batch([hosts, names, around, hashes], "host string,token long,within long,hash long")
+
+
+def places(events: list[tuple], classes: dict[int, int]) -> Iterator[tuple[int, int, int]]:
+    """For every event of a class its token, its place in the class's order, and the token of the class around it that came last."""
+    sizes: dict[int, set] = {}
+    for token, *_ in events:
+        if token in classes:
+            sizes.setdefault(classes[token], set()).add(token)
+    last: dict[int, int] = {}
+    seen: dict[int, int] = {}
+    for token, up, *_ in events:
+        own = classes.get(token)
+        if own is None:
+            continue
+        while up >= 0 and classes.get(events[up][0], own) == own:
+            up = events[up][1]
+        seen[own] = seen.get(own, -1) + 1
+        yield token, seen[own] % len(sizes[own]), last[classes[events[up][0]]] if up >= 0 else 0
+        last[own] = token
+
+
+def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per host and token the least and greatest of its places, over some pages."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, 256):
+            found: dict[tuple, list] = {}
+            for host, page, tokens, kinds in zip(*(c.to_pylist() for c in batch.slice(start, 256).columns), strict=True):
+                classes = dict(zip(tokens, kinds, strict=True))
+                for token, rank, slot in places(parse(page), classes):
+                    held = found.setdefault((host, token), [classes[token], rank, rank, slot, slot])
+                    held[1:] = min(held[1], rank), max(held[2], rank), min(held[3], slot), max(held[4], slot)
+            rows = [(*k, *v) for k, v in found.items()]
+            yield to_batch(list(zip(*rows, strict=True)) if rows else [[]] * 7, ORDERS.replace(", ", ","))
+
+
+ORDERS = "host string, token long, class long, low long, high long, slot long, slot_high long"
+
+
+def _with_host(pages: DataFrame, per_host: DataFrame, how: str) -> DataFrame:
+    """Pages with ``tokens`` and ``classes`` of their host; ``pages`` has ``url``."""
+    size = per_host.agg(F.sum(F.size("tokens") * 16 + 64)).first()[0] or 0
+    host = F.lower(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), r"^\s*(?:[A-Za-z][\w+.-]*:)?//([^/?#]*)", 1))
+    return pages.withColumn("host", host).join(F.broadcast(per_host) if size <= BROADCAST_BYTES else per_host, "host", how)
 
 
 def templates(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """``host`` and ``tokens``, all tokens of its valid classes; a row per host that has any."""
-    rows = pages.select(F.col(key).cast("string"), F.col(url).cast("string"), F.col(html).cast("string")).mapInArrow(
-        _occurrences, "host string, token long, hash long"
-    )
-    vectors = store(rows.groupBy("host", "token").agg(F.count("*").alias("pages"), F.bit_xor("hash").alias("vector")), "vectors")
-    sizes = vectors.filter("token = 0").select("host", F.col("pages").alias("all"))
-    frequent = vectors.filter(F.col("token") != 0).join(sizes, "host").filter(
-        (F.col("pages") >= LEAST_PAGES) & (F.col("pages") >= LEAST_SHARE * F.col("all"))
+    """``host``, ``tokens`` of its valid classes in their order, their ``classes`` and the token each class stands behind.
+
+    A row per host that has any; ``slots`` holds 0 where nothing is around a class.
+    """
+    given = pages.select(F.col(key).cast("string").alias("key"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("page"))
+    rows = given.mapInArrow(_occurrences, "host string, token long, within long, hash long")
+    vectors = rows.groupBy("host", "token").agg(F.count("*").alias("pages"), F.bit_xor("hash").alias("vector"), F.min("within").alias("within"))
+    vectors = store(vectors.filter(F.col("pages") >= LEAST_PAGES), "vectors")
+    around = vectors.select("host", F.col("token").alias("within"), F.col("pages").alias("all"))
+    frequent = vectors.filter(F.col("token") != 0).join(around, ["host", "within"]).filter(F.col("pages") >= LEAST_SHARE * F.col("all"))
+    alike = frequent.groupBy("host", F.xxhash64("pages", "vector").alias("class")).agg(F.collect_set("token").alias("tokens"))
+    alike = alike.filter(F.size("tokens") >= LEAST_TOKENS).select("host", "class", F.explode("tokens").alias("token"))
+    per_host = store(alike.groupBy("host").agg(F.collect_list(F.struct("token", "class")).alias("_all")).select(
+        "host", F.col("_all.token").alias("tokens"), F.col("_all.class").alias("classes")
+    ), "classes")
+    seen = _with_host(given, per_host, "inner").select("host", "page", "tokens", "classes").mapInArrow(_orders, ORDERS)
+    fixed = (
+        seen.groupBy("host", "token")
+        .agg(F.min("class").alias("class"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("slot").alias("slot"), F.max("slot_high").alias("slot_high"))
+        .filter("low = high AND slot = slot_high")
     )
-    classes = frequent.groupBy("host", "pages", "vector").agg(F.collect_set("token").alias("tokens")).filter(F.size("tokens") >= LEAST_TOKENS)
-    return classes.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("tokens"))
+    valid = fixed.groupBy("host", "class", "slot").agg(F.sort_array(F.collect_list(F.struct("low", "token"))).alias("_in")).filter(F.size("_in") >= LEAST_TOKENS)
+    flat = F.flatten(F.transform(
+        F.sort_array(F.collect_list(F.struct("class", "slot", "_in"))),
+        lambda c: F.transform(c["_in"], lambda t: F.struct(t["token"].alias("token"), F.xxhash64(c["class"], c["slot"]).alias("class"), c["slot"].alias("slot"))),
+    ))
+    made = valid.groupBy("host").agg(flat.alias("_all"))
+    return made.select("host", F.col("_all.token").alias("tokens"), F.col("_all.class").alias("classes"), F.col("_all.slot").alias("slots"))
+
+
+def slots(events: list[tuple], template: frozenset) -> list[tuple[int, list[tuple[str, bool, bool]]]]:
+    """A parsed page cut at the template's tokens: each slot's first token (0 before any) and its blocks ``(text, left out, inside an article)``.
+
+    The blocks of the template's own text are not in any slot, but where they make an article more than ``MOST_TAKEN``.
+    """
+    article = [(len(text), token in template) for token, _, text, out, main in events if text and main and not out]
+    copied = sum(n for n, taken in article if taken) > MOST_TAKEN * sum(n for n, _ in article)
+    found: list[tuple[int, list]] = [(0, [])]
+    for token, _, text, out, main in events:
+        if token in template and not (text and main and copied):
+            found.append((token, []))
+        elif text:
+            found[-1][1].append((text, out, main))
+    return found
 
 
 def extract(page: str | None, template: frozenset) -> str:
-    _, blocks = parse(page)
-    marked = any(main for _, _, _, main in blocks)
-    kept = [text for text, token, out, main in blocks if not out and (main if marked else token not in template)]
-    return "\n".join(kept)
+    events = parse(page)
+    marked = any(main for *_, main in events)
+    return "\n".join(text for _, blocks in slots(events, template) for text, out, main in blocks if not out and (main or not marked))
 
 
 def _extractor():
@@ -227,11 +311,7 @@ def _extractor():
 
 def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """``page_id``, ``url`` and ``text`` of every page."""
-    found = store(templates(pages, key, url, html), "templates")
-    size = found.agg(F.sum(F.size("tokens") * 8 + 64)).first()[0] or 0
+    found = store(templates(pages, key, url, html), "templates").select("host", "tokens")
     rows = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), F.col(html).cast("string").alias("page"))
-    host = F.lower(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), r"^\s*(?:[A-Za-z][\w+.-]*:)?//([^/?#]*)", 1))
-    small = F.broadcast(found) if size <= BROADCAST_BYTES else found
-    joined = rows.withColumn("host", host).join(small, "host", "left")
     text = text_udf("struct<text:string>", _extractor)(F.struct("page", "tokens"))["text"]
-    return joined.select("page_id", "url", text.alias("text"))
+    return _with_host(rows, found, "left").select("page_id", "url", text.alias("text"))

@@ -55,3 +55,48 @@ def test_odd_pages(spark):
     assert [r["text"] for r in found if r["page_id"] in (1, None, 5)] == ["", "", ""]
     assert [r["text"] for r in found if r["page_id"] == 4] == ["deep"]
     assert html.main_text(df.limit(0)).collect() == []
+
+
+def laid_out(i, kind):
+    """Three layouts of a host; each page marks its article, which ends with a line of its layout."""
+    own = "".join(f"<p>own {kind} {i} part {k} with words of its own</p>" for k in range(2 + i % 3))
+    return f"<html><body><div class='lay{kind}'><p>top of {kind}</p><div class='in{kind}'><article><h2>head {i}</h2>{own}<p>Read more at {kind}</p></article></div><p>end of {kind}</p></div></body></html>"
+
+
+def test_template_of_marked_pages_and_layouts(spark):
+    """Every layout has its own nested classes, a third of the host each, and they take their lines out of an article."""
+    rows = [(3 * i + k, "http://h.example/", laid_out(i, "abc"[k])) for i in range(8) for k in range(3)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    found = {r["page_id"]: r["text"] for r in html.main_text(df).collect()}
+    assert found[4] == "head 1\n" + "\n".join(f"own b 1 part {k} with words of its own" for k in range(3))
+    made = html.templates(df).first()
+    assert len(set(made["classes"])) >= 3  # a class for each layout
+    layout = [html._token(f">html.>body.>div.laya{path}", text) for path, text in (("", ""), (">p.", "top of a"), (">p.", "end of a"))]
+    assert len({dict(zip(made["tokens"], made["classes"]))[t] for t in layout}) == 1
+
+
+def test_order_and_nesting():
+    """Tokens that change places are told from those that keep them, and classes stand behind a token of the one around."""
+    a, b, c, x, y = range(1, 6)
+    events = [(a, -1, "", False, False), (x, 0, "", False, False), (y, 0, "", False, False), (x, 0, "", False, False), (y, 0, "", False, False), (b, -1, "", False, False), (c, -1, "", False, False)]
+    found = set(html.places(events, {a: 7, b: 7, c: 7, x: 8, y: 8}))
+    assert found == {(a, 0, 0), (b, 1, 0), (c, 2, 0), (x, 0, a), (y, 1, a)}
+
+
+def test_changing_order_is_no_template(spark):
+    lines = ["<p>first of all</p>", "<p>second to it</p>", "<p>third of these</p>", "<p>fourth in here</p>"]
+    rows = [(i, "http://h.example/", f"<html><body>{''.join(lines[i % 4:] + lines[: i % 4])}<p>own {i}</p></body></html>") for i in range(8)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert all(len(r["text"].split("\n")) == 5 for r in html.main_text(df).collect())
+
+
+def test_copies_of_an_article_stay(spark):
+    page = "<html><body><div>menu of us</div><article><h1>One</h1><p>the same text</p><p>and more</p></article><div>end</div></body></html>"
+    df = spark.createDataFrame([(i, "http://h.example/", page) for i in range(5)], "page_id long, url string, html string")
+    assert {r["text"] for r in html.main_text(df).collect()} == {"One\nthe same text\nand more"}
+
+
+def test_slots_end_at_the_template():
+    page = "<html><body><div>a<p>b</p></div><div class='k'>c</div></body></html>"
+    cut = html.slots(html.parse(page), frozenset([html._token(">html.>body.>div.k")]))
+    assert [[t for t, _, _ in blocks] for _, blocks in cut] == [["a", "b"], ["c"]]
