@@ -7,10 +7,12 @@ boundaries, words before it) and chooses boundaries and types together, so that
 a phone number, a card and an address written side by side come apart. Spans of
 the field that touch no base span are added; base spans always stay.
 
-The field is fitted on at most ``SAMPLE_DOCS`` texts with digits, those with the
-smallest hash, and at most ``SAMPLE_REGIONS`` regions of them: their base spans
-are the labels, and pairs of them are written side by side as further regions.
-Without such texts ``PRIOR`` stands.
+The field is fitted on regions of whole texts, all of them: distinct regions
+(with the few characters around them) are drawn in Spark, the
+``SAMPLE_REGIONS`` with the smallest hash for every kind and for those without a
+span. Their base spans are the labels, and pairs of them are written side by
+side as further regions. Copies of a region count once, however many texts or
+places hold it. Without regions ``PRIOR`` stands.
 
 Positions count code points, ends are exclusive. NULL and empty texts hold
 nothing; equal scores prefer fewer spans; repeated rows give equal results.
@@ -19,17 +21,20 @@ nothing; equal scores prefer fewer spans; repeated rows give equal results.
 from __future__ import annotations
 
 import re
-from functools import partial
+from bisect import bisect_left
+from collections.abc import Iterator
+from functools import partial, reduce
 
 import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from defectlab.llm.common import text_udf
+from defectlab.llm.common import SLICE_ROWS, store, text_udf, to_batch
 
 KINDS = ("email", "ip", "card", "phone")
 MOST_TOKENS = 18
-SAMPLE_DOCS = 2_000
 SAMPLE_REGIONS = 400
 SPANS = "struct<n_email:long,n_ip:long,n_card:long,n_phone:long,base:string,spans:string>"
 
@@ -232,26 +237,58 @@ def _example(text: str, low: int, high: int, gold_spans: list[tuple[int, int, in
     return len(cuts) - 1, spans, {(at[a], at[b], k) for k, a, b in gold_spans if a in at and b in at}
 
 
+def _labelled(text: str) -> Iterator[tuple[int, str, int, int, int, int]]:
+    """Regions to learn from, as ``(kind, around, low, high, start, end)``; kind -1 for one without a base span."""
+    spans = sorted(base_spans(text), key=lambda s: s[1:])
+    widest = max((b - a for _, a, b in spans), default=0)
+    starts = [a for _, a, _ in spans]
+    for low, high in regions(text):
+        inside = [s for s in spans[bisect_left(starts, low - widest) : bisect_left(starts, high)] if s[2] > low]
+        if len(inside) <= 1 and sum(c.isdigit() for c in text[low:high]) <= 20:
+            shift = max(0, low - 30)
+            kind, a, b = inside[0] if inside else (-1, shift, shift)
+            yield kind, text[shift : high + 10], low - shift, high - shift, a - shift, b - shift
+
+
+def _regions_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's distinct regions with the smallest hashes of each kind, ``SAMPLE_REGIONS`` at most."""
+    least: dict[int, dict[int, tuple]] = {}
+    for batch in batches:
+        for start in range(0, batch.num_rows, SLICE_ROWS):
+            for text in batch.column(0).slice(start, SLICE_ROWS).to_pylist():
+                for row in _labelled(text):
+                    held = least.setdefault(row[0], {})
+                    region = row[1][row[2] : row[3]]
+                    rank = xxhash.xxh64_intdigest(region.encode("utf-8", "surrogatepass")) >> 1
+                    held[rank] = min(row, held.get(rank, row))
+                    if len(held) > 8 * SAMPLE_REGIONS:
+                        least[row[0]] = dict(sorted(held.items())[:SAMPLE_REGIONS])
+    rows = [(rank, *row) for held in least.values() for rank, row in sorted(held.items())[:SAMPLE_REGIONS]]
+    yield to_batch(list(zip(*rows, strict=True)) if rows else [[]] * 7, REGIONS.replace(", ", ","))
+
+
+REGIONS = "rank long, kind long, around string, low long, high long, start long, end long"
+
+
+def sample_regions(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Distinct regions of all texts, ``SAMPLE_REGIONS`` of each kind by hash."""
+    texts = docs.select(F.col(text).cast("string").alias("t")).dropna()
+    offered = store(texts.mapInArrow(_regions_of, REGIONS), "regions")
+    row = F.struct("around", "low", "high", "start", "end")
+    found = offered.groupBy("kind", "rank").agg(F.min(row).alias("row")).select("kind", "rank", "row.*")
+    kinds = [found.filter(F.col("kind") == k).orderBy("rank").limit(SAMPLE_REGIONS) for k in range(-1, len(KINDS))]
+    return reduce(DataFrame.unionByName, kinds)
+
+
 def fit_spans(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """The field's weights from a bounded sample of texts."""
-    share = min(1.0, 20 * SAMPLE_DOCS / max(1, docs.count()))  # a hash sample first, so that no task offers more than it must
-    drawn = docs.select(F.col(text).cast("string").alias("t")).filter(F.pmod(F.xxhash64("t"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    with_digits = drawn.filter(F.col("t").rlike("[0-9]{3}|@"))
-    rows = with_digits.select(F.substring("t", 1, 20_000).alias("t")).orderBy(F.xxhash64("t", F.lit(1)), "t").limit(SAMPLE_DOCS).collect()
+    """The field's weights from a bounded sample of the regions of all texts."""
+    rows = sample_regions(docs, text).orderBy("rank", "kind").collect()
     examples, alone = [], {}
     for r in rows:
-        if len(examples) >= SAMPLE_REGIONS:
-            break
-        t = r["t"]
-        spans = base_spans(t)
-        for low, high in regions(t):
-            inside = [(k, a, b) for k, a, b in spans if a < high and b > low]
-            if sum(c.isdigit() for c in t[low:high]) <= 20 and len(inside) <= 1:
-                around = t[max(0, low - 30) : high + 10]
-                shift = max(0, low - 30)
-                examples.append(_example(around, low - shift, high - shift, [(k, a - shift, b - shift) for k, a, b in inside]))
-                if inside and inside[0][1] >= low and inside[0][2] <= high:
-                    alone.setdefault(inside[0][0], []).append(t[inside[0][1] : inside[0][2]])
+        inside = [(r["kind"], r["start"], r["end"])] if r["kind"] >= 0 else []
+        examples.append(_example(r["around"], r["low"], r["high"], inside))
+        if inside and r["start"] >= r["low"] and r["end"] <= r["high"]:
+            alone.setdefault(r["kind"], []).append(r["around"][r["start"] : r["end"]])
     for k, values in alone.items():  # side by side, as a base pattern would not part them
         for other, others in alone.items():
             for a, b in list(zip(values, others[1:], strict=False))[:10]:

@@ -79,3 +79,17 @@ def test_columns(docs, odd_docs, no_docs):
     odd = odd_docs.select("text", pii.redact(F.col("text"), pii.fit_spans(odd_docs)).alias("r")).collect()
     assert [r["r"] for r in odd] == [r["text"] for r in odd]
     assert no_docs.select(pii.redact(F.col("text"), pii.fit_spans(no_docs)).alias("r")).collect() == []
+
+
+def test_sample_of_regions(spark, monkeypatch):
+    """Copies count once, whole texts are read, and one text full of numbers leaves room for every other kind."""
+    monkeypatch.setattr(pii, "SAMPLE_REGIONS", 20)
+    rest = [f"{'word ' * 6_000}from 10.100.{i}.107 or a{i}@b.example" for i in range(5)]
+    numbers = " and ".join(f"no {n * 7_654_321 + 12_345_678}" for n in range(300))
+    texts = ["one and the same 192.168.7.7 here"] * 3_000 + rest + [numbers]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    found = [sorted(map(tuple, pii.sample_regions(df.repartition(n)).collect())) for n in (1, 7)]
+    assert found[0] == found[1]
+    kinds = {k: {r["around"][r["start"] : r["end"]] for r in pii.sample_regions(df).filter(F.col("kind") == k).collect()} for k in (0, 1)}
+    assert kinds == {0: {f"a{i}@b.example" for i in range(5)}, 1: {f"10.100.{i}.107" for i in range(5)} | {"192.168.7.7"}}
+    assert pii.sample_regions(df).filter("kind = -1").count() == 20
