@@ -299,6 +299,42 @@ def link_components(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "
     )
 
 
+def links(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """All links: pairs ``(u, v)`` of nodes, ``u < v``, and the membership ``(doc_id, node)`` of all rows.
+
+    Rows of one node are copies and link with each other; a NULL node links with
+    nothing. Unlike for components no pair is left to others: any two nodes meet
+    at the first n-gram they share, within the sizes and places a link allows,
+    and Spark splits the parts of a frequent one. There are as many pairs as
+    links, so near copies of many different texts make many.
+    """
+    spark = docs.sparkSession
+    given = F.col(key).cast("long")
+    rows = docs.select(F.coalesce(given, F.lit(NO_KEY)).alias("key"), F.col(text).cast("string").alias("text"))
+    sketch = spark.sparkContext.broadcast(frequency_sketch(rows.select("text"), n))
+    kind = "key long, node long, n int, wanted int, prefix array<long>"
+    sized = store(rows.mapInArrow(partial(_prefixes, sketch, n, percent), kind), "prefixes")
+    nodes = sized.filter("node IS NOT NULL").groupBy("node").agg(F.first("n").alias("n"), F.first("wanted").alias("wanted"), F.first("prefix").alias("prefix"))
+    postings = store(nodes.select("node", "n", "wanted", F.posexplode("prefix").alias("pos", "token")), "postings")
+    x, y = postings.alias("x"), postings.alias("y")
+    met = x.join(y, "token").filter((F.col("x.node") < F.col("y.node")) & _may_link(percent, 1))
+    pairs = store(met.select(F.col("x.node").alias("u"), F.col("y.node").alias("v")).distinct(), "pairs")
+    wanted = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+    sets = store(_sets_of(rows, sized, wanted, n), "sets")
+    members = sized.select(F.nullif("key", F.lit(NO_KEY)).alias("doc_id"), "node")
+    return store(_verified(_sharing_enough(pairs, postings, percent), sets, percent), "links"), members
+
+
+def link_counts(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """``doc_id`` and ``n_links``, to how many other rows it links, of every row; from both results of ``links``."""
+    sizes = store(members.filter("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("rows")), "sizes")
+    both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    other = both.join(sizes.withColumnRenamed("node", "v"), "v").groupBy("u").agg(F.sum("rows").alias("other"))
+    of_node = sizes.join(other.withColumnRenamed("u", "node"), "node", "left")
+    of_node = of_node.select("node", (F.col("rows") - 1 + F.coalesce("other", F.lit(0))).alias("n_links"))
+    return members.join(of_node, "node", "left").select("doc_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def _sets_of(rows: DataFrame, sized: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """Whole sets of the wanted nodes, each from one text."""
     chosen = sized.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("key").alias("key")).select("key").distinct()

@@ -78,3 +78,21 @@ def test_chain_of_links(spark):
     random.Random(1).shuffle(edges)
     found = ngram_join.components(spark.createDataFrame(edges, "u long, v long")).collect()
     assert {r["component"] for r in found if r["node"] <= 200} == {0} and len(found) == 203
+
+
+@pytest.mark.parametrize(("n", "percent"), [(3, 90), (2, 50)])
+def test_every_link(spark, n, percent):
+    """No link is lost inside a component: counts of every row against all pairs."""
+    rows = [*corpus(n), (None, "one two"), (7, "one two")]
+    sets = []
+    for _, text in rows:
+        words = (text or "").encode().lower().split()
+        sets.append({tuple(words[i : i + n]) for i in range(len(words) - n + 1)} or ({tuple(words)} if words else set()))
+    want = []
+    for a, (key, _) in enumerate(rows):
+        common = [(len(sets[a] & s), len(s)) for b, s in enumerate(sets) if b != a]
+        want.append((key, sum(both > 0 and 100 * both >= percent * (len(sets[a]) + size - both) for both, size in common)))
+    pairs, members = ngram_join.links(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), n=n, percent=percent)
+    found = [tuple(r) for r in ngram_join.link_counts(pairs, members).collect()]
+    assert sorted(found, key=repr) == sorted(want, key=repr)
+    assert sum(n_links for _, n_links in want) > 2 * pairs.count() > 1_000
