@@ -86,6 +86,20 @@ def format_conversations(
     return pieces.select("conv_id", joined.alias("formatted"), F.filter(mask, lambda r: r["chars"] > 0).alias("loss_mask"))
 
 
+def loss_texts(formatted: Column, mask: Column) -> Column:
+    """The texts under the true runs of a ``loss_mask``, cut out of the formatted string and unescaped."""
+    kind = "struct<at:int,found:array<struct<at:int,chars:int>>>"
+    none = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<at:int,chars:int>>").alias("found")).cast(kind)
+
+    def step(s: Column, r: Column) -> Column:
+        own = F.array(F.struct(s["at"].alias("at"), r["chars"].alias("chars")))
+        found = F.when(r["loss"], F.concat(s["found"], own)).otherwise(s["found"])
+        return F.struct((s["at"] + r["chars"]).alias("at"), found.alias("found")).cast(kind)
+
+    runs = F.aggregate(mask, none, step)["found"]
+    return F.transform(runs, lambda r: unescape(F.substring(formatted, r["at"], r["chars"])))
+
+
 def read_conversations(formatted: DataFrame, text: str = "formatted") -> DataFrame:
     """Adds ``turns``, an array of ``(role, text)``, read back from the formatted strings."""
 

@@ -53,7 +53,7 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     back = chat.read_conversations(chat.format_conversations(turns.unionByName(planted)))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
+    loss = F.array_join(chat.loss_texts(F.col("formatted"), F.col("loss_mask")), "")
     return back.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),

@@ -56,3 +56,14 @@ def test_ties_and_nulls(spark):
 
 def test_same_as_sql(spark, small):
     assert difference(QUERIES["op5_chat_format"](spark, small), database(small), SQL["op5_chat_format"]) is None
+
+
+def test_query_reads_the_loss_mask(spark, small, monkeypatch):
+    """A wrong mask shows in the query's loss columns."""
+    right = {r["conv_id"]: r for r in QUERIES["op5_chat_format"](spark, small).collect()}
+    real = chat.format_conversations
+    monkeypatch.setattr(chat, "format_conversations", lambda turns: real(turns).selectExpr("conv_id", "formatted", "transform(loss_mask, r -> struct(r.chars AS chars, false AS loss)) AS loss_mask"))
+    wrong = {r["conv_id"]: r for r in QUERIES["op5_chat_format"](spark, small).collect()}
+    assert right[-7]["loss_chars"] == len(INJECTION)
+    assert {r["loss_chars"] for r in wrong.values()} == {0}
+    assert all(wrong[c]["turns_sha256"] == r["turns_sha256"] for c, r in right.items())
