@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from defectlab.llm import binary, bpe, chat, decontaminate, divergence, html, ngram_join, pii, quality, sharding, toxicity
+from defectlab.llm import binary, bpe, chat, decontaminate, divergence, html, ngram_join, pii, quality, search, sharding, toxicity
 from defectlab.llm.common import read_table
 from defectlab.session import scratch_path
 
@@ -176,3 +176,27 @@ found AS (
   UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM cells WHERE c > 0 AND p > q)
 SELECT lang, source, part, item, value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank
 FROM found QUALIFY part = 'pair' OR rank <= 50"""
+
+
+@query
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of every item of the benchmark."""
+    return search.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+SQL["op13_lexical_search"] = rf"""
+WITH words AS (
+  SELECT r, doc_id, unnest(regexp_extract_all(body, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT row_number() OVER () AS r, doc_id, {_FOLD.format("text")} AS body FROM documents)),
+wanted AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all({_FOLD.format("text")}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+lengths AS (SELECT r, any_value(doc_id) AS doc_id, count(*) AS n FROM words GROUP BY r),
+corpus AS (SELECT count(*) AS big_n, sum(n)::BIGINT AS big_l FROM lengths),
+counts AS (SELECT r, term, count(*) AS tf FROM words SEMI JOIN wanted USING (term) GROUP BY ALL),
+weights AS (SELECT term, floor(1000 * ln((2 * big_n + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM counts, corpus GROUP BY term, big_n),
+parts AS (
+  SELECT r, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * big_n) // big_l))) AS part
+  FROM counts JOIN weights USING (term) JOIN lengths USING (r), corpus),
+scores AS (SELECT item_id, r, doc_id, sum(part)::BIGINT AS score FROM wanted JOIN parts USING (term) GROUP BY ALL HAVING sum(part) > 0)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST))::INTEGER AS rank, doc_id, score
+FROM scores QUALIFY rank <= 50"""
