@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from defectlab.llm import binary, bpe, chat, decontaminate, divergence, html, ngram_join, pii, quality, search, sharding, toxicity
+from defectlab.llm import binary, bpe, chat, decontaminate, divergence, html, ngram_join, pii, pu_quality, quality, search, sharding, toxicity
 from defectlab.llm.common import read_table
 from defectlab.session import scratch_path
 
@@ -178,6 +178,16 @@ SELECT lang, source, part, item, value, (row_number() OVER (PARTITION BY lang, s
 FROM found QUALIFY part = 'pair' OR rank <= 50"""
 
 
+@query
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score for every document, learnt from all texts and the good labels that are not held out."""
+    found = pu_quality.described(read_table(spark, sf_dir, "documents"))
+    kept = toxicity.held_out(F.col("doc_id"))
+    model = pu_quality.fit(found, read_table(spark, sf_dir, "labels"), ~kept)
+    scored = found.select("doc_id", kept.alias("held_out"), pu_quality.score(F.col("features"), model).alias("score"))
+    return scored.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
+
+
 @query
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 50 best documents of every item of the benchmark."""
