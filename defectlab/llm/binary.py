@@ -29,6 +29,9 @@ from defectlab.llm.tokens import word_level
 
 BLOCK_TOKENS = 1 << 20
 END_ID = 2
+# Bytes of text to a bucket at most, on average; buckets are as many as shuffle partitions or more.
+BUCKET_BYTES = 64 << 20
+COUNTED = -1
 FIRST = -(1 << 63)
 
 TOKENS = "bucket int,doc_id long,no_id boolean,tie long,n_tokens long,ids binary"
@@ -48,9 +51,11 @@ def range_bounds(docs: DataFrame, key: str, pieces: int) -> list[int]:
 
 
 def _tokenise(path: str, bounds: list[int], end_id: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ids of every text, and at the end, in bucket ``COUNTED``, how often a task has seen each id."""
     words, limits = word_level(path), np.array(bounds, dtype=np.int64)
     end = np.array([end_id], dtype="<u4").tobytes()
     narrow = words.size <= 1 << 16
+    counts = np.zeros(max(words.size, end_id + 1), dtype=np.int64)
     for batch in batches:
         ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         found = [words.encode(t or "") + end for t in texts]
@@ -58,26 +63,28 @@ def _tokenise(path: str, bounds: list[int], end_id: int, batches: Iterator[pa.Re
         ties = np.array([zlib.crc32(f) for f in found], dtype=np.int64)
         low, high = np.searchsorted(limits, keys, "left"), np.searchsorted(limits, keys, "right")
         buckets = low + ties % (high - low + 1)
-        packed = [np.frombuffer(f, "<u4").astype("<u2").tobytes() for f in found] if narrow else found
         n = [len(f) // 4 for f in found]
-        yield to_batch([buckets.astype(np.int32), keys, [i is None for i in ids], ties, n, packed], TOKENS)
+        whole = np.frombuffer(b"".join(found), "<u4")
+        counts += np.bincount(whole, minlength=len(counts))
+        if narrow:
+            whole, ends = whole.astype("<u2"), np.cumsum(n).tolist()
+            found = [whole[e - k : e].tobytes() for e, k in zip(ends, n, strict=True)]
+        yield to_batch([buckets.astype(np.int32), keys, [i is None for i in ids], ties, n, found], TOKENS)
+    seen = np.flatnonzero(counts)
+    packed = np.stack([seen, counts[seen]]).astype("<i8").tobytes()
+    yield to_batch([[COUNTED], [0], [False], [0], [len(seen)], [packed]], TOKENS)
 
 
 def _unpacked(ids: bytes, n: int) -> np.ndarray:
     return np.frombuffer(ids, "<u2" if len(ids) == 2 * n else "<u4")
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of a task's ids: at most one row for each id of the vocabulary."""
-    counts = np.zeros(0, dtype=np.int64)
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The tasks' counts as rows: at most one for each id of the vocabulary and task."""
     for batch in batches:
-        for n, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            own = np.bincount(_unpacked(ids.as_py(), n))
-            if len(own) > len(counts):
-                counts = np.concatenate([counts, np.zeros(len(own) - len(counts), dtype=np.int64)])
-            counts[: len(own)] += own
-    seen = np.flatnonzero(counts)
-    yield to_batch([seen, counts[seen]], "id long,n long")
+        for packed in batch.column(0).to_pylist():
+            seen, n = np.frombuffer(packed, "<i8").reshape(2, -1)
+            yield to_batch([seen, n], "id long,n long")
 
 
 def _encode(counts: np.ndarray, block_tokens: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,15 +130,17 @@ def _encode(counts: np.ndarray, block_tokens: int, batches: Iterator[pa.RecordBa
 def write(docs: DataFrame, folder: str, vocabulary: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID, block_tokens: int = BLOCK_TOKENS) -> None:
     """Tokenise, count over all documents, then encode each range of ids by itself."""
     spark = docs.sparkSession
-    pieces = shuffle_width(spark)
     narrow = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    size = narrow.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    pieces = max(shuffle_width(spark), -(-size // BUCKET_BYTES))
     bounds = range_bounds(narrow, "doc_id", pieces)
     tokens = store(narrow.mapInArrow(partial(_tokenise, vocabulary, bounds, end_id), TOKENS), "ids")
-    counted = tokens.select("n_tokens", "ids").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counted = tokens.where(F.col("bucket") == COUNTED).select("ids").mapInArrow(_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     counted.write.parquet(f"{folder}/table")
     counts = read_counts(spark, folder)  # at most a row for each id of the vocabulary
     (
-        tokens.repartition(pieces, "bucket")
+        tokens.where(F.col("bucket") != COUNTED)
+        .repartition(pieces, "bucket")
         .sortWithinPartitions("bucket", "doc_id", F.col("no_id").desc(), "tie")
         .select("bucket", "doc_id", "no_id", "n_tokens", "ids")
         .mapInArrow(partial(_encode, counts, block_tokens), BLOCKS)
@@ -172,7 +181,7 @@ def _decode(counts: np.ndarray, with_ids: bool, batches: Iterator[pa.RecordBatch
 def read(spark: SparkSession, folder: str, with_ids: bool = True) -> DataFrame:
     """Per document: ``doc_id``, ``start``, ``n_tokens``, ``ids_crc32`` and, if asked for, its ids; every block checked."""
     blocks = spark.read.schema(BLOCKS).parquet(f"{folder}/blocks")
-    # A row per bucket, of which there are as many as shuffle partitions: small enough for one running sum.
+    # A row per bucket of about BUCKET_BYTES of text: small enough for one running sum.
     totals = blocks.groupBy("bucket").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))

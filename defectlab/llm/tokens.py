@@ -20,10 +20,12 @@ from tokenizers.models import BPE
 
 # Entries of a worker's tables: byte-level workers also hold a large vocabulary.
 MOST_CHUNKS, MOST_PIECES = 100_000, 200_000
-MOST_WORD_CHUNKS, MOST_WORD_PIECES = 300_000, 500_000
+MOST_WORD_CHUNKS, MOST_WORD_PIECES = 100_000, 700_000
 
 # Unicode's White_Space, which is \s of the published pattern.
 BLANK = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+# The word file's own cuts where all characters are Latin-1 and lower case: letters, contractions, single numbers, signs.
+LATIN = re.compile(r"[a-zªµºß-öø-ÿ]+|'(?:s|t|re|ve|m|ll|d)|[0-9²³¹¼½¾]|(?:[^\w\t-\r \x85\xa0]|_)+")
 # The published pattern with its three non-blank classes taken together: none of its matches crosses these cuts.
 CHUNKS = re.compile(f" ?[^{BLANK}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]")
 
@@ -59,6 +61,22 @@ class _Table(dict):
         return made
 
 
+class _Generations(_Table):
+    """A table of two halves: what is asked for again outlives a full half, what is not goes with it."""
+
+    def __init__(self, make, most: int):
+        super().__init__(make, most // 2)
+        self.old: dict = {}
+
+    def __missing__(self, key):
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        found = self.old.get(key)
+        self[key] = found = self.make(key) if found is None else found
+        return found
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as lines:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
@@ -116,6 +134,14 @@ class ByteLevel:
         return starts, ends
 
 
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class WordLevel:
     """A vocabulary file of the library whose pieces never cross blanks, special strings read as ordinary text."""
 
@@ -128,8 +154,8 @@ class WordLevel:
         self.split = lambda chunk: [p for p, _ in split.pre_tokenize_str(chunk)]
         self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
         self.simple = self._splits_alike()
-        self.pieces = _Table(self._piece, MOST_WORD_PIECES)
-        self.chunks = _Table(self._chunk, MOST_WORD_CHUNKS)
+        self.pieces = _Generations(self._piece, MOST_WORD_PIECES)
+        self.chunks = _Generations(self._chunk, MOST_WORD_CHUNKS)
 
     def _splits_alike(self) -> bool:
         """True when the file cuts as the pattern above does; else every chunk goes through the whole library."""
@@ -137,7 +163,8 @@ class WordLevel:
         return [to_alphabet(p.encode()) for p in self.pattern.findall(probe)] == self.split(probe)
 
     def _piece(self, piece: str) -> bytes:
-        return array("I", [t.id for t in self.model.tokenize(to_alphabet(piece.encode()))]).tobytes()
+        written = piece if piece.isascii() and piece.isprintable() else to_alphabet(piece.encode())
+        return array("I", [t.id for t in self.model.tokenize(written)]).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
         # Below U+0250 lower-casing and composing are the same everywhere, but for the dotted capital I.
@@ -147,6 +174,8 @@ class WordLevel:
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
+        if self.simple and (text.isascii() or _latin(text)):
+            return b"".join(map(self.pieces.__getitem__, LATIN.findall(text.lower())))
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # blanks for str.split(), not for Unicode
             return b"".join(map(self.chunks.__getitem__, re.findall(f"[^{BLANK}]+", text)))
         return b"".join(map(self.chunks.__getitem__, text.split()))

@@ -53,6 +53,20 @@ def test_word_level(docs, library):
         assert list(array("I", codec.encode(text))) == library.encode(text, add_special_tokens=False).ids
 
 
+def test_latin_texts_are_cut_as_the_library_does(library):
+    """All Latin-1 characters beside each other, and a table too small to keep anything."""
+    codec = word_level(WORD)
+    draw = random.Random(8)
+    chars = [chr(i) for i in range(256)]
+    texts = ["".join(draw.choice(chars) for _ in range(40)) for _ in range(2000)]
+    texts += [a + b for a in "aA1²_'\x1c \xa0ª½ß" for b in chars] + ["it's I'LL we've o'clock ''s 's's can't_x a_b __"]
+    small = type(codec)(WORD)
+    small.pieces.most = 3
+    for text in texts:
+        want = library.encode(text, add_special_tokens=False).ids
+        assert list(array("I", codec.encode(text))) == list(array("I", small.encode(text))) == want, text
+
+
 def test_offsets_of_split_characters():
     codec = byte_level(BYTE, PATTERN)
     text = "a🙂b 中"
