@@ -20,7 +20,7 @@ from tokenizers.models import BPE
 
 # Entries of a worker's tables: byte-level workers also hold a large vocabulary.
 MOST_CHUNKS, MOST_PIECES = 100_000, 200_000
-MOST_WORD_CHUNKS, MOST_WORD_PIECES = 100_000, 700_000
+MOST_WORD_CHUNKS, MOST_WORD_PIECES = 100_000, 500_000
 
 # Unicode's White_Space, which is \s of the published pattern.
 BLANK = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
