@@ -7,6 +7,7 @@ from defectlab.catalog.changes import SIDES
 from defectlab.catalog.registry import PATCHES, SCRIPTS, clean_sql, holdout_sql, query
 from defectlab.operators import changes as ch
 from defectlab.operators import examples as ex
+from defectlab.session import cut_lineage
 
 CLEAN = f"""{PATCHES}, {SIDES},
 cleaned AS (SELECT doc_id, {clean_sql('deleted_lines')} AS deleted_lines, {clean_sql('added_lines')} AS added_lines FROM sides)"""
@@ -112,6 +113,31 @@ def a7_split_overlap(spark, sf):
     return ex.split_overlap(_carved(spark, sf, "text"), "text")
 
 
+def _grouped(spark, sf):
+    docs = fx.texts(spark, sf).select("doc_id", "text")
+    return ex.grouped_holdout(docs, 0.3, 42, F.col("text"))
+
+
+@query("a7_grouped_overlap", "SELECT md5(text) AS content_key, 2::BIGINT AS splits, count(*) AS rows FROM documents WHERE false GROUP BY text")
+def a7_grouped_overlap(spark, sf):
+    """Equal contents in both parts of a split by content: none."""
+    return ex.split_overlap(_grouped(spark, sf), "text")
+
+
+@query(
+    "a2_grouped_sizes",
+    """SELECT split, rows, (SELECT count(DISTINCT text) FROM documents) AS contents
+    FROM (SELECT 'test' AS split, ceil(0.3::DOUBLE * count(*))::BIGINT AS rows FROM documents
+      UNION ALL SELECT 'train', count(*) - ceil(0.3::DOUBLE * count(*))::BIGINT FROM documents)""",
+)
+def a2_grouped_sizes(spark, sf):
+    """Rows of both parts of a split by content, and the contents of the two together."""
+    split = cut_lineage(_grouped(spark, sf).select("split", F.md5("text").alias("content")))
+    contents = split.groupBy("split", "content").agg(F.count(F.lit(1)).alias("n"))
+    whole = contents.count()
+    return contents.groupBy("split").agg(F.sum("n").alias("rows")).withColumn("contents", F.lit(whole).cast("long"))
+
+
 @query("a8_preview", "SELECT doc_id, lang, md5(text) AS text FROM documents ORDER BY doc_id LIMIT 5 OFFSET 9")
 def a8_preview(spark, sf):
     docs = fx.table(spark, sf, "documents").select("doc_id", "lang", "text")

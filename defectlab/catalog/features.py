@@ -6,16 +6,16 @@ from defectlab import fixtures as fx
 from defectlab.catalog.registry import POSTINGS, query
 from defectlab.functions.text import terms
 from defectlab.operators import features as ft
-from defectlab.session import scratch_path
+from defectlab.session import cut_lineage, scratch_path
 from defectlab.sources import matrix_long, read_matrix
 
 
 def _postings(spark, sf):
-    return ft.postings(fx.texts(spark, sf), "doc_id", "text")
+    return ft.postings(fx.texts(spark, sf).select("doc_id", "text"), "doc_id", "text")
 
 
 def _frequency(spark, sf):
-    return ft.document_frequency(fx.texts(spark, sf), "text")
+    return ft.document_frequency(fx.texts(spark, sf).select("text"), "text")
 
 
 def _rows(spark, sf):
@@ -27,7 +27,7 @@ TOP = "top AS (SELECT term, count(*) AS df FROM postings GROUP BY term ORDER BY
 
 @query("m1_bow", f"WITH {POSTINGS}, {TOP} SELECT doc_id, term, tf FROM postings SEMI JOIN top USING (term)")
 def m1_bow(spark, sf):
-    return ft.bag_of_words(fx.texts(spark, sf), "doc_id", "text", 1000).select("doc_id", "term", "tf")
+    return ft.bag_of_words(fx.texts(spark, sf).select("doc_id", "text"), "doc_id", "text", 1000).select("doc_id", "term", "tf")
 
 
 @query("m1_postings", f"WITH {POSTINGS} SELECT doc_id, term, tf FROM postings")
@@ -47,7 +47,8 @@ def a9_vocabulary(spark, sf):
     FROM postings JOIN dfs USING (term)""",
 )
 def m2_tfidf(spark, sf):
-    weighted = ft.tf_idf(_postings(spark, sf), _frequency(spark, sf), _rows(spark, sf))
+    posts = cut_lineage(_postings(spark, sf))
+    weighted = ft.tf_idf(posts, ft.posting_frequency(posts), _rows(spark, sf))
     return weighted.select("doc_id", "term", "tf", F.round("weight", 6).alias("weight"))
 
 
@@ -72,7 +73,7 @@ def _cells(spark, sf):
     f"""WITH {POSTINGS}, {CELLS}, {STATS} SELECT doc_id, term, round((tf - mu) / sd, 6) AS z FROM cells JOIN scaled USING (term)""",
 )
 def m3_scale(spark, sf):
-    return ft.scale(_cells(spark, sf), _rows(spark, sf)).select("doc_id", "term", F.round("z", 6).alias("z"))
+    return ft.scale(cut_lineage(_cells(spark, sf)), _rows(spark, sf)).select("doc_id", "term", F.round("z", 6).alias("z"))
 
 
 @query(
@@ -92,9 +93,10 @@ def m3_scale_stats(spark, sf):
 )
 def f8_select(spark, sf):
     """Terms that occur more than once in some document."""
-    posts = _postings(spark, sf)
-    chosen = posts.groupBy("term").agg(F.sum("tf").alias("n"), F.count(F.lit(1)).alias("df")).where("n > df")
-    return ft.select_features(posts, chosen).select("doc_id", "term", "tf")
+    posts = cut_lineage(_postings(spark, sf))
+    counts = cut_lineage(posts.groupBy("term").agg(F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("n")))
+    chosen = counts.where("tf > n")
+    return ft.select_features(posts, chosen, weights=chosen.select("term", "n")).select("doc_id", "term", "tf")
 
 
 @query(

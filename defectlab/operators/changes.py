@@ -66,6 +66,14 @@ def first_files(commits: DataFrame) -> DataFrame:
     return unique.agg(first).select(*FILE_KEY, F.col("first.patch").alias("patch"))
 
 
+def first_in_payload(commits: DataFrame) -> DataFrame:
+    """Of each payload's files the first of every name, found inside the row: no shuffle."""
+    placed = F.transform("files", lambda f, i: F.struct(f["filename"].alias("filepath"), i.alias("pos"), f["patch"].alias("patch")))
+    ordered = commits.select("repository", F.col("sha").alias("commit_id"), F.array_sort(placed).alias("_files"))
+    first = F.filter("_files", lambda f, i: (i == 0) | ~f["filepath"].eqNullSafe(F.get(F.col("_files"), i - 1)["filepath"]))
+    return ordered.select("repository", "commit_id", F.inline(first)).drop("pos")
+
+
 def match_files(worklist: DataFrame, commits: DataFrame) -> DataFrame:
     """Each usable work-list row with the patch of its file."""
     return skew_join(worklist, first_files(commits), FILE_KEY, "inner", ["wl_id"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,8 @@ from defectlab.functions.stem import stem_text
 from defectlab.functions.text import clean_text, non_blank, normalize_script, strip_comments
 from defectlab.operators.changes import label_pairs
 from defectlab.plans.ranks import hash_holdout, hash_rank, ordered_rank
-from defectlab.plans.skew import group_join
+from defectlab.plans.skew import group_join, skew_join
+from defectlab.session import cut_lineage
 
 
 def preprocess_scripts(df: DataFrame, stem: bool = True, strip_punct: bool = False, comments: bool = True) -> DataFrame:
@@ -66,6 +69,53 @@ def holdout(
     return hash_holdout(df, key, p, seed, by, name)
 
 
+def unit_counts(sizes: dict[int, int], p: float) -> dict[int, int]:
+    """How many groups of each size to hold out so that their rows are ceil(rows * p).
+
+    Each size gives its share, and what is missing is filled from the largest size
+    that fits. If something is missing still, one more group comes in and smaller
+    ones go for it. It is met exactly where single rows are there to fill with, and
+    otherwise missed by less than the smallest group that is left.
+    """
+    target = math.ceil(sum(n * units for n, units in sizes.items()) * p)
+    taken = {n: math.floor(units * p) for n, units in sizes.items()}
+    gap = target - sum(n * k for n, k in taken.items())
+    for n in sorted(sizes, reverse=True):
+        more = min(sizes[n] - taken[n], gap // n)
+        taken[n] += more
+        gap -= more * n
+    for n in sorted(n for n in sizes if gap and taken[n] < sizes[n]):
+        swapped, over = taken | {n: taken[n] + 1}, n - gap
+        for smaller in sorted((m for m in sizes if m < n), reverse=True):
+            fewer = min(swapped[smaller], over // smaller)
+            swapped[smaller] -= fewer
+            over -= fewer * smaller
+        if over == 0:
+            return swapped
+    return taken
+
+
+def grouped_holdout(
+    df: DataFrame, p: float, seed: int, group: Column, name: str = "split", labels: tuple[str, str] = ("test", "train")
+) -> DataFrame:
+    """Random split in which rows of one ``group`` (equal contents, linked rows) stay together; NULL is a group.
+
+    Groups meet on a digest. Of the groups of each size the first by seeded hash are
+    held out, as many as ``unit_counts`` says; only these numbers reach the driver,
+    one for each distinct size.
+    """
+    digest = F.coalesce(F.md5(group.cast("string")), F.lit("none"))
+    units = cut_lineage(df.groupBy(digest.alias("_unit")).agg(F.count(F.lit(1)).alias("_n")))
+    sizes = units.groupBy("_n").agg(F.count(F.lit(1)).alias("units"))
+    taken = unit_counts({r["_n"]: r["units"] for r in sizes.collect()}, p)  # sizes differ, so they are at most sqrt(2 * rows)
+    wanted = df.sparkSession.createDataFrame(list(taken.items()), "_n long, _take long")
+    ranked = hash_rank(units, "_unit", seed, ["_n"], "_rank").join(F.broadcast(wanted), "_n")
+    held = cut_lineage(ranked.where(F.col("_rank") <= F.col("_take")).select("_unit", F.lit(True).alias("_held")))
+    keyed = df.withColumn("_unit", digest)
+    marked = skew_join(keyed, held, ["_unit"], "left", df.columns, units.select("_unit", F.col("_n").alias("n")))
+    return marked.withColumn(name, F.when(F.col("_held"), labels[0]).otherwise(labels[1])).select(*df.columns, name)
+
+
 def carve_validation(df: DataFrame, key: str, p: float = 0.2, seed: int = 43) -> DataFrame:
     """Turn a share of the train rows into validation rows; test stays as it is.
 

@@ -91,12 +91,18 @@ def postings(df: DataFrame, key: str, text: str) -> DataFrame:
     return named.select(key, "term", F.expr("length(_run) div (length(term) + 1)").alias("tf"))
 
 
+def posting_frequency(posts: DataFrame) -> DataFrame:
+    """(term, df) of postings that are at hand."""
+    return posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
 def bag_of_words(df: DataFrame, key: str, text: str, vocab_size: int | None = None, min_df: int = 1) -> DataFrame:
     """Term counts over all terms, or over the ``vocab_size`` most common ones."""
     posts = postings(df, key, text)
     if vocab_size is None and min_df <= 1:
         return posts
-    frequency = document_frequency(df, text)
+    posts = cut_lineage(posts)  # counted, then cut down
+    frequency = posting_frequency(posts)
     kept = vocabulary(frequency, vocab_size, min_df) if vocab_size is not None else frequency.where(F.col("df") >= min_df)
     chosen = cut_lineage(kept.select("term"))
     if small_enough(chosen, ["term"]):
@@ -142,10 +148,18 @@ def scale(cells: DataFrame, rows: Column | int, value: str = "tf") -> DataFrame:
     return joined.withColumn("z", z).drop("mu", "sd")
 
 
-def select_features(df: DataFrame, chosen: Sequence[int] | DataFrame, features: str = "features") -> DataFrame:
-    """Keep the chosen columns of a vector, or the chosen terms of long rows."""
+def select_features(
+    df: DataFrame, chosen: Sequence[int] | DataFrame, features: str = "features", weights: DataFrame | None = None
+) -> DataFrame:
+    """Keep the chosen columns of a vector, or the chosen terms of long rows.
+
+    ``weights`` (term, n) are the rows of each term where they are known.
+    """
     if isinstance(chosen, DataFrame):
-        return skew_join(df, chosen.select("term").distinct(), ["term"], "left_semi", _spread(df))
+        terms_ = cut_lineage(chosen.select("term").distinct())
+        if small_enough(terms_, ["term"]):
+            return df.join(F.broadcast(terms_), "term", "left_semi")
+        return skew_join(df, terms_, ["term"], "left_semi", _spread(df), weights)
     slicer = VectorSlicer(inputCol=features, outputCol="_sliced", indices=list(chosen))
     return slicer.transform(df).drop(features).withColumnRenamed("_sliced", features)
 

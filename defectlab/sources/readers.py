@@ -36,12 +36,21 @@ DATASETS = [(0, "Mozilla"), (1, "Openstack"), (2, "Wikimedia")]
 PAGES_PER_BLOCK = 10_000
 
 
+# Bytes of a table, for each core, that are cheap to deal out.
+SPREAD_BYTES = 64 << 20
+
+
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """A parquet table for work that is heavy per row.
 
-    Its pieces are those of the scan; the session's split sizes set how many.
+    A file can be read by no more tasks than it has row groups. A table of fewer
+    files than the session has cores, and of at most SPREAD_BYTES a core, is dealt
+    out evenly; larger ones, or more files, keep the pieces of their scan.
     """
-    return spark.read.parquet(path)
+    df = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if len(df.inputFiles()) < cores and size <= cores * SPREAD_BYTES else df
 
 
 def read_csv_text(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:

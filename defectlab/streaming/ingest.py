@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from defectlab.operators.changes import FILE_KEY, change_pairs, first_files
+from defectlab.operators.changes import FILE_KEY, change_pairs, first_in_payload
 from defectlab.sources.readers import COMMIT_SCHEMA
 
 OUTPUT_SCHEMA = (
@@ -22,35 +22,41 @@ def stream_changes(
     worklist: DataFrame | None = None,
     mode: str = "strict",
     files_per_batch: int | None = None,
+    keep: str | None = "365 days",
 ) -> StreamingQuery:
     """Start a run over everything that has landed since the last one.
 
-    Each micro-batch owns the folder ``batch=N`` of ``out`` and overwrites it, so
-    a batch that is repeated after a failure leaves the same rows. A file of a
-    commit is written once: repeats inside the batch are merged per task before
-    the shuffle, files of earlier batches are left out by an anti-join that
-    reads the three key columns of ``out`` only. With ``worklist``, only files
-    it names are kept. A run takes all new files as one batch unless
-    ``files_per_batch`` limits it, so earlier keys are read once per run. ``out`` and ``checkpoint`` belong together: drop both or
-    neither.
+    A file of a commit is written once. Which keys have been seen is held in the
+    query's keyed state, spread over the shuffle partitions: a batch looks up its
+    own keys there and reads nothing of what earlier batches wrote. A key is
+    forgotten ``keep`` after its batch (None: never), and a payload that lands
+    again later than that is taken as new. Inside a payload the first file of a
+    name counts; copies of a commit's file in several payloads are the same file.
+    ``spark.sql.streaming.stateStore.providerClass`` sets where state lives; large
+    tables want the RocksDB one.
+
+    Each micro-batch owns the folder ``batch=N`` of ``out`` and overwrites it, and a
+    batch repeated after a failure starts from the state before it, so it leaves
+    the same rows. With ``worklist``, only files it names are kept. A run takes all
+    new files as one batch unless ``files_per_batch`` limits it. ``out`` and
+    ``checkpoint`` belong together: drop both or neither.
     """
 
-    def land(payloads: DataFrame, batch: int) -> None:
-        files = first_files(payloads)
-        if worklist is not None:
-            wanted = worklist.select(*FILE_KEY).distinct()
-            files = files.join(wanted, FILE_KEY, "left_semi")
-        if batch > 0:
-            earlier = read_changes(spark, out).where(F.col("batch") < batch).select(*FILE_KEY)
-            files = files.join(earlier, FILE_KEY, "left_anti")
-        change_pairs(files, mode).write.mode("overwrite").parquet(f"{out}/batch={batch}")
+    def land(files: DataFrame, batch: int) -> None:
+        change_pairs(files.drop("landed"), mode).write.mode("overwrite").parquet(f"{out}/batch={batch}")
 
     reader = spark.readStream.schema(COMMIT_SCHEMA)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    payloads = reader.json(landing)
+    files = first_in_payload(reader.json(landing))
+    if worklist is not None:
+        files = files.join(worklist.select(*FILE_KEY).distinct(), FILE_KEY, "left_semi")
+    if keep is None:
+        unseen = files.dropDuplicates(FILE_KEY)
+    else:  # the batch's own time: no payload is ever too late
+        unseen = files.withColumn("landed", F.current_timestamp()).withWatermark("landed", keep).dropDuplicatesWithinWatermark(FILE_KEY)
     return (
-        payloads.writeStream.foreachBatch(land)
+        unseen.writeStream.foreachBatch(land)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

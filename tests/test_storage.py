@@ -101,6 +101,55 @@ def test_stream_equals_batch_and_ignores_replays(spark, tmp_path):
     assert len(streamed) == 3
 
 
+def test_a_repeated_batch_leaves_the_same_rows(spark, tmp_path):
+    """A batch whose commit is lost is done again from the state before it."""
+    landing, out, checkpoint = tmp_path / "in", str(tmp_path / "out"), tmp_path / "cp"
+    for n, shas in enumerate((("s1", "s2"), ("s2", "s3"), ("s3", "s1", "s4"))):
+        for sha in shas:
+            land(landing, f"{n}-{sha}.json", sha, sha)
+        stream_changes(spark, str(landing), out, str(checkpoint)).awaitTermination()
+    rows = sorted(map(tuple, read_changes(spark, out).select("commit_id", "batch").collect()))
+    assert sorted(r[0] for r in rows) == ["s1", "s2", "s3", "s4"]
+    last = max(int(f.name) for f in (checkpoint / "commits").iterdir() if f.name.isdigit())
+    for f in (checkpoint / "commits").glob(f"*{last}*"):
+        f.unlink()
+    stream_changes(spark, str(landing), out, str(checkpoint)).awaitTermination()
+    assert sorted(map(tuple, read_changes(spark, out).select("commit_id", "batch").collect())) == rows
+
+
+def test_batches_read_nothing_that_was_written(spark, tmp_path, monkeypatch):
+    """Earlier output may be gone: the keys are in the state."""
+    import shutil
+
+    landing, out = tmp_path / "in", tmp_path / "out"
+    land(landing, "1.json", "s1", "x")
+    stream_changes(spark, str(landing), str(out), str(tmp_path / "cp")).awaitTermination()
+    shutil.move(out, tmp_path / "elsewhere")
+    land(landing, "2.json", "s1", "x")
+    land(landing, "3.json", "s2", "y")
+    stream_changes(spark, str(landing), str(out), str(tmp_path / "cp")).awaitTermination()
+    assert [r.commit_id for r in read_changes(spark, str(out)).collect()] == ["s2"]
+
+
+def test_keys_are_forgotten_after_a_while(spark, tmp_path):
+    landing, out, checkpoint = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "cp")
+    for n, sha in enumerate(("s1", "s2", "s3", "s1")):
+        land(landing, f"{n}.json", sha, "x")
+        stream_changes(spark, str(landing), out, checkpoint, keep="0 seconds").awaitTermination()
+    assert sorted(r.commit_id for r in read_changes(spark, out).collect()) == ["s1", "s1", "s2", "s3"]
+    land(landing, "9.json", "s2", "x")
+    everything = str(tmp_path / "all")
+    for _ in range(2):
+        stream_changes(spark, str(landing), everything, str(tmp_path / "cp2"), keep=None).awaitTermination()
+    assert sorted(r.commit_id for r in read_changes(spark, everything).collect()) == ["s1", "s2", "s3"]
+
+
+def test_first_file_of_a_name_in_a_payload(spark):
+    rows = [("r", "c", [("b", "1"), ("a", None), ("b", None), ("a", "2"), (None, "3"), (None, "4")]), ("r", "d", []), ("r", "e", None)]
+    df = spark.createDataFrame(rows, "repository string, sha string, files array<struct<filename:string,patch:string>>")
+    assert {tuple(r)[2:] for r in ch.first_in_payload(df).collect()} == {("b", "1"), ("a", None), (None, "3")}
+
+
 def test_stream_keeps_to_the_worklist(spark, tmp_path):
     land(tmp_path / "in", "1.json", "s1", "x")
     land(tmp_path / "in", "2.json", "s2", "y")
