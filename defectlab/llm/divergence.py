@@ -40,6 +40,7 @@ UNIT, PRIOR = 1_000_000_000, 5
 # A task hands on its counts when it holds so many, and its corrections likewise.
 MOST_COUNTS = 400_000
 MOST_CORRECTIONS = 1 << 20
+HEAD = 2
 
 # Bytes of a term as themselves, A-Z as a-z, all others as blanks: matches then are what split() leaves.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -205,7 +206,10 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, term_ranks: int = TERM_RANK
     # The commonest sources stand first, so that rows share the longest paths.
     ordered = F.sort_array(F.collect_list(F.struct((-F.col("held")).alias("place"), "source", "n", "p", "z")))
     paths = cells.groupBy("lang", "term").agg(ordered.alias("path")).groupBy("lang", "path").agg(F.count("*").alias("m"))
-    paths = paths.repartitionByRange(shuffle_width(docs.sparkSession), "lang", "path").sortWithinPartitions("lang", "path")
+    # Ranges are drawn by the heads of the paths, which are short; rows of a common head part by a hash.
+    head = F.transform(F.slice("path", 1, HEAD), lambda c: F.struct(c["place"], c["source"], c["n"]))
+    ranges = paths.repartitionByRange(shuffle_width(docs.sparkSession), F.col("lang"), head, F.xxhash64("path"))
+    paths = ranges.sortWithinPartitions("lang", "path")
     both = paths.mapInArrow(_corrections, PAIRS)
 
     profile = cells.groupBy("lang", "source", "p").agg(F.count("*").alias("n")).groupBy("lang", "source").agg(F.collect_list(F.struct("p", "n")).alias("profile"))
