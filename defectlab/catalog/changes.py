@@ -296,6 +296,24 @@ def j3_similar_tokens(spark, sf):
     return rel.similar_tokens(fx.token_vectors(spark, sf), fx.keyword_vectors(spark, sf), 0.3)
 
 
+@query(
+    "j3_tagged",
+    f"""WITH {VECTORS},
+    used AS (SELECT project_id, commit_id, token,
+        ('0x' || substr(md5(commit_id || ':' || (place - 1) || ':' || token), 8, 1))::INTEGER < 11 AS wanted
+      FROM (SELECT project_id, commit_id, unnest(ts) AS token, generate_subscripts(ts, 1) AS place
+        FROM (SELECT project_id, commit_id, {terms_sql('title')} AS ts FROM turns))),
+    marks AS (SELECT embedding::DOUBLE[] AS k FROM embeddings WHERE vec_id % 7 = 0),
+    around AS (SELECT DISTINCT token FROM vectors v WHERE EXISTS (SELECT 1 FROM marks
+      WHERE list_dot_product(v.vector, k) >= 0.45 * sqrt(list_dot_product(v.vector, v.vector)) * sqrt(list_dot_product(k, k))))
+    SELECT DISTINCT project_id, commit_id FROM used WHERE wanted AND token IN (SELECT token FROM around)""",
+)
+def j3_tagged(spark, sf):
+    """A tag for each occurrence, and many keywords."""
+    vectors = fx.token_vectors(spark, sf).select("token", "vector")
+    return rel.tagged_matches(fx.tagged_tokens(spark, sf), vectors, fx.keyword_table(spark, sf), 0.45)
+
+
 @query(
     "j4_project_changes",
     f"""WITH {VECTORS}, pairs AS (SELECT project_id, commit_id, title, new_path, {side_sql('diff', '-')} AS before,

@@ -143,6 +143,18 @@ def token_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.select("token", tag.alias("pos"), place.alias("vec_id")).join(vectors, "vec_id").drop("vec_id")
 
 
+def tagged_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """Every occurrence of a title token with a tag of its own: the same word is tagged this way here and that way there."""
+    turns = project_commits(spark, folder).select("project_id", "commit_id", F.posexplode(terms(F.col("title"))).alias("place", "token"))
+    digit = F.conv(F.substring(F.md5(F.concat_ws(":", "commit_id", F.col("place").cast("string"), "token")), 8, 1), 16, 10).cast("int")
+    return turns.withColumn("tag", F.when(digit < 6, "NOUN").when(digit < 11, "VERB").otherwise("ADJ"))
+
+
+def keyword_table(spark: SparkSession, folder: str) -> DataFrame:
+    """Every seventh vector as a keyword."""
+    return table(spark, folder, "embeddings").where("vec_id % 7 = 0").select(F.col("embedding").alias("vector"))
+
+
 def keyword_vectors(spark: SparkSession, folder: str) -> list[list[float]]:
     """The first vector of every class as the keyword list, one per class."""
     firsts = table(spark, folder, "embeddings").groupBy("label").agg(F.min_by("embedding", "vec_id").alias("v"))
