@@ -265,6 +265,18 @@ def f9_keywords(spark, sf):
     return rel.title_matches(fx.texts(spark, sf), "text", ("worthless", "token")).select("doc_id")
 
 
+TITLED = """titled AS (SELECT doc_id, coalesce(words[(doc_id % 60 + 1)::INTEGER], 'plain') || ' - ' || lang AS title
+  FROM documents, (SELECT {words} AS words))""".format(words=list(rel.KEYWORDS))
+
+
+@query("f9_fixed_keywords", f"WITH {TITLED} SELECT doc_id, title FROM titled WHERE NOT starts_with(title, 'plain')")
+def f9_fixed_keywords(spark, sf):
+    """Titles with each of the fixed keywords in turn, and titles without one."""
+    word = F.try_element_at(F.array(*map(F.lit, rel.KEYWORDS)), (F.col("doc_id") % 60 + 1).cast("int"))
+    titled = fx.table(spark, sf, "documents").select("doc_id", F.concat(F.coalesce(word, F.lit("plain")), F.lit(" - "), "lang").alias("title"))
+    return rel.title_matches(titled)
+
+
 VECTORS = f"""{TURNS},
 tokens AS (SELECT DISTINCT unnest({terms_sql('title')}) AS token FROM turns),
 places AS (SELECT token, ('0x' || substr(md5(token), 8, 1))::INTEGER AS digit,

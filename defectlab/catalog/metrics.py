@@ -6,6 +6,7 @@ from defectlab import fixtures as fx
 from defectlab.catalog.registry import PREDICTIONS, RUNS, query
 from defectlab.operators import metrics as mt
 from defectlab.operators import runs as rn
+from defectlab.session import cut_lineage
 from defectlab.sources import runs_long
 
 
@@ -179,6 +180,25 @@ def g10_summary(spark, sf):
     return _rounded(rn.summarize_runs(fx.runs(spark, sf)), "model", "metric")
 
 
+@query(
+    "g10_phases",
+    f"""WITH {PREDICTIONS}, byfold AS (SELECT fold, phase, count(*) FILTER (label = 1 AND prediction = 1)::DOUBLE AS tp,
+      count(*) FILTER (label = 0 AND prediction = 1)::DOUBLE AS fp, count(*) FILTER (label = 1 AND prediction = 0)::DOUBLE AS fn,
+      avg((label = prediction)::INTEGER) AS accuracy FROM predictions GROUP BY fold, phase),
+    folds AS (SELECT fold, phase, {_div('tp', 'tp + fp')} AS precision, {_div('tp', 'tp + fn')} AS recall,
+      {_div('2 * tp', '2 * tp + fp + fn')} AS f1, accuracy, CASE WHEN isfinite(auc) THEN auc END AS auc
+      FROM byfold JOIN {_auc('predictions', 'fold, phase')} a USING (fold, phase)),
+    long AS (UNPIVOT folds ON accuracy, auc, precision, recall, f1 INTO NAME metric VALUE v)
+    SELECT phase, metric, round(avg(v), 6) AS mean, round(median(v), 6) AS median, round(max(v), 6) AS max, round(min(v), 6) AS min
+    FROM long GROUP BY phase, metric""",
+)
+def g10_phases(spark, sf):
+    """Folds summarised by phase, accuracy among the metrics."""
+    folds = cut_lineage(mt.fold_metrics(fx.predictions(spark, sf)))
+    found = rn.summarize_runs(folds, ["phase"], ["accuracy", "auc", "precision", "recall", "f1"])
+    return _rounded(found.where("mean IS NOT NULL"), "phase", "metric")
+
+
 @query(
     "m11_compare",
     f"""WITH {RUNS}, means AS (SELECT model, avg(auc) AS auc, avg(precision) AS precision, avg(recall) AS recall, avg(f1) AS f1

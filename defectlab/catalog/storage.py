@@ -1,9 +1,12 @@
 """Files written and read back, and the streaming job."""
 
+import contextlib
+
 from pyspark.sql import functions as F
 
 from defectlab import fixtures as fx
-from defectlab.catalog.changes import FIRST
+from defectlab.catalog.changes import FIRST, VECTORS
+from defectlab.catalog.changes import _relevant as relevant
 from defectlab.catalog.registry import (
     FILES,
     PREDICTIONS,
@@ -15,10 +18,11 @@ from defectlab.catalog.registry import (
     query,
     side_sql,
 )
-from defectlab.functions.text import clean_text
+from defectlab.functions.text import clean_text, drop_beyond_latin1
 from defectlab.operators import changes as ch
 from defectlab.operators import examples as ex
-from defectlab.session import scratch_path
+from defectlab.operators.metrics import align
+from defectlab.session import cut_lineage, scratch_path
 from defectlab.sources import (
     read_examples,
     read_predictions,
@@ -28,7 +32,8 @@ from defectlab.sources import (
     write_examples,
     write_runs,
 )
-from defectlab.sources.readers import read_csv_text
+from defectlab.sources.appends import append_batch, read_batches, start_over
+from defectlab.sources.readers import read_csv_text, read_keyed
 from defectlab.sources.writers import write_csv_text
 from defectlab.streaming.ingest import read_changes, stream_changes
 
@@ -43,6 +48,16 @@ def s1_scripts(spark, sf):
     return back.select(F.col("script_id").cast("long").alias("script_id"), "label", F.md5(clean_text(F.col("content"))).alias("content"))
 
 
+@query("s1_latin1", rf"""WITH {SCRIPTS} SELECT script_id, label, md5(regexp_replace(content, '[^\x00-\x{{ff}}]', '', 'g')) AS content FROM scripts""")
+def s1_latin1(spark, sf):
+    """Scripts in a Latin-1 file, read as the original encoding."""
+    path = scratch_path(spark, "latin1")
+    source = fx.scripts(spark, sf).select("script_id", drop_beyond_latin1(F.col("content")).alias("Script.Content"), F.col("label").alias("Defect.Label"))
+    write_csv_text(source, path, encoding="ISO-8859-1")
+    back = read_scripts(spark, path, "ISO-8859-1")
+    return back.select(F.col("script_id").cast("long").alias("script_id"), "label", F.md5(F.coalesce("content", F.lit(""))).alias("content"))
+
+
 @query("s2_worklist", f"WITH {WORKLIST} SELECT wl_id, repository, coalesce(commit_id, '') AS commit_id, filepath FROM worklist")
 def s2_worklist(spark, sf):
     path = scratch_path(spark, "worklist")
@@ -60,6 +75,17 @@ def s8_predictions(spark, sf):
     return read_predictions(spark, path)
 
 
+@query("s8_two_files", f"WITH {PREDICTIONS} SELECT example_id, label, score FROM predictions WHERE phase = 'test'")
+def s8_two_files(spark, sf):
+    """Scores and labels in files of their own, each keyed; labels of other phases have no score."""
+    scores, labels = scratch_path(spark, "scores"), scratch_path(spark, "labels")
+    made = fx.predictions(spark, sf)
+    made.where("phase = 'test'").select("example_id", "score").write.option("header", True).csv(scores)
+    made.select("example_id", "label").write.option("header", True).csv(labels)
+    both = align(read_keyed(spark, scores, "score double"), read_keyed(spark, labels, "label int"))
+    return both.select("example_id", "label", "score")
+
+
 def _matched(spark, sf):
     usable, _ = ch.validate_worklist(fx.worklist(spark, sf))
     return ch.change_pairs(ch.match_files(usable, fx.commits(spark, sf)))
@@ -82,6 +108,54 @@ def k1_changes(spark, sf):
     return back.select("commit_id", "repo_name", "file_path", *sides)
 
 
+CHANGED = f"""{FILES}, {WORKLIST}, {FIRST},
+    matched AS (SELECT u.*, patch FROM usable u JOIN first f ON u.repository = f.repository AND u.commit_id = f.commit_id
+      AND u.filepath = f.filepath)"""
+
+
+@query("k1_appended", f"WITH {CHANGED} SELECT wl_id % 3 AS part, commit_id, filepath AS file_path FROM matched")
+def k1_appended(spark, sf):
+    """Changes appended in three batches after a truncation; one job dies before its batch is listed, all are repeated."""
+    path = scratch_path(spark, "appends")
+    whole = cut_lineage(_matched(spark, sf).withColumnsRenamed({"repository": "repo_name", "filepath": "file_path"}))
+
+    def dies(df, folder):
+        write_changes(df.limit(1), folder)
+        raise InterruptedError
+
+    append_batch(whole, path, "old", write_changes)
+    start_over(spark, path)
+    with contextlib.suppress(InterruptedError):
+        append_batch(whole, path, "part-1", dies)
+    for _ in range(2):
+        for part in range(3):
+            append_batch(whole.where(F.col("wl_id") % 3 == part), path, f"part-{part}", write_changes)
+
+    def read(spark, folder):
+        part = F.lit(int(folder[-1])).cast("long").alias("part")
+        return read_csv_text(spark, folder).select(part, F.col("Commit ID").alias("commit_id"), F.col("File Path").alias("file_path"))
+
+    return read_batches(spark, path, read)
+
+
+@query(
+    "k1_project_changes",
+    f"""WITH {VECTORS}, pairs AS (SELECT project_id, commit_id, title, new_path, {side_sql('diff', '-')} AS before,
+      {side_sql('diff', '+')} AS after FROM turns JOIN chosen USING (project_id, commit_id)
+      WHERE lower(string_split(new_path, '.')[-1]) IN ('yml', 'yaml'))
+    SELECT project_id::VARCHAR AS "ProjectID", commit_id AS "CommitID", md5(title) AS "TitleCommit", md5(before) AS "Before", md5(after) AS "After"
+    FROM pairs WHERE before <> '' AND after <> ''""",
+)
+def k1_project_changes(spark, sf):
+    """Project changes under their own heads, truncated once and read back by these."""
+    path = scratch_path(spark, "project_changes")
+    pairs = cut_lineage(ch.project_changes(relevant(spark, sf), fx.project_diffs(spark, sf), fx.project_pages(spark, sf)))
+    for _ in range(2):
+        write_changes(pairs, path)
+    back = read_csv_text(spark, path)
+    return back.select("ProjectID", "CommitID", *[F.md5(F.coalesce(c, F.lit(""))).alias(c) for c in ("TitleCommit", "Before", "After")])
+
+
 SPLIT_EXAMPLES = f"""WITH {SCRIPTS} SELECT label, split, md5(content) AS code FROM
     ({holdout_sql('scripts', 'script_id', 0.2, '42')})"""
 

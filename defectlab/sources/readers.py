@@ -162,6 +162,11 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("example_id long, label int, score double").option("header", True).csv(path)
 
 
+def read_keyed(spark: SparkSession, path: str, column: str) -> DataFrame:
+    """One column of values (its DDL) keyed by example, as scores and labels in files of their own are."""
+    return spark.read.schema(f"example_id long, {column}").option("header", True).csv(path)
+
+
 def flatten_dump(df: DataFrame) -> DataFrame:
     """Script-dump maps to one row per script with its dataset's name."""
     names = F.create_map(*[F.lit(v) for pair in DATASETS for v in pair])
