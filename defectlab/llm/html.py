@@ -17,10 +17,10 @@ one slot and begins the next.
 Text that is itself part of the template is left out. Slots below menus,
 headers, footers, sidebars, notices, adverts, forms and comments are left out,
 as told by the elements and class words around them. Where a page marks its
-article (``article``, ``main``), only slots inside it are the text. An article
-whose text would be template for more than ``MOST_TAKEN`` is a copy of others
-on its host and stays whole. Hosts with fewer pages have no valid class, there
-a page is one slot. Every other slot is returned.
+article (``article``, ``main``), only slots inside it are the text, and its own
+blocks stay whatever they share with other pages: articles may have paragraphs in
+common. Hosts with fewer pages have no valid class, there a page is one slot.
+Every other slot is returned.
 
 NULL and empty pages give an empty text, NULL or odd addresses are a host of
 their own, pages of any length are read whole, repeated rows give equal
@@ -44,7 +44,6 @@ from defectlab.llm.common import BROADCAST_BYTES, store, text_udf, to_batch
 LEAST_TOKENS = 3
 LEAST_PAGES = 3
 LEAST_SHARE = 0.5
-MOST_TAKEN = 0.5
 
 SKIPPED = re.compile(
     r"<!--.*?-->|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>"
@@ -273,13 +272,11 @@ def templates(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
 def slots(events: list[tuple], template: frozenset) -> list[tuple[int, list[tuple[str, bool, bool]]]]:
     """A parsed page cut at the template's tokens: each slot's first token (0 before any) and its blocks ``(text, left out, inside an article)``.
 
-    The blocks of the template's own text are not in any slot, but where they make an article more than ``MOST_TAKEN``.
+    The blocks of the template's own text are not in any slot, but those inside an article.
     """
-    article = [(len(text), token in template) for token, _, text, out, main in events if text and main and not out]
-    copied = sum(n for n, taken in article if taken) > MOST_TAKEN * sum(n for n, _ in article)
     found: list[tuple[int, list]] = [(0, [])]
     for token, _, text, out, main in events:
-        if token in template and not (text and main and copied):
+        if token in template and not (text and main):
             found.append((token, []))
         elif text:
             found[-1][1].append((text, out, main))

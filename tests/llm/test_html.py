@@ -64,11 +64,11 @@ def laid_out(i, kind):
 
 
 def test_template_of_marked_pages_and_layouts(spark):
-    """Every layout has its own nested classes, a third of the host each, and they take their lines out of an article."""
+    """Every layout has its own nested classes, a third of the host each; an article keeps the line it shares with others of its layout."""
     rows = [(3 * i + k, "http://h.example/", laid_out(i, "abc"[k])) for i in range(8) for k in range(3)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
     found = {r["page_id"]: r["text"] for r in html.main_text(df).collect()}
-    assert found[4] == "head 1\n" + "\n".join(f"own b 1 part {k} with words of its own" for k in range(3))
+    assert found[4] == "head 1\n" + "\n".join(f"own b 1 part {k} with words of its own" for k in range(3)) + "\nRead more at b"
     made = html.templates(df).first()
     assert len(set(made["classes"])) >= 3  # a class for each layout
     layout = [html._token(f">html.>body.>div.laya{path}", text) for path, text in (("", ""), (">p.", "top of a"), (">p.", "end of a"))]
@@ -96,6 +96,15 @@ def test_copies_of_an_article_stay(spark):
     assert {r["text"] for r in html.main_text(df).collect()} == {"One\nthe same text\nand more"}
 
 
+def test_shared_paragraphs_of_articles_stay(spark):
+    """Some pages of a host whose articles begin alike: nothing of an article goes, the host's own lines around it do."""
+    shared = "".join(f"<p>opening {k} that all of them share</p>" for k in range(3))
+    rows = [(i, "http://h.example/", f"<html><body><div>menu of us</div><p>all our news</p><article><h1>Head {i}</h1>{shared}<p>own {i}</p></article><div>imprint</div></body></html>") for i in range(6)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r["page_id"]: r["text"].split("\n") for r in html.main_text(df).collect()}
+    assert found == {i: [f"Head {i}", *[f"opening {k} that all of them share" for k in range(3)], f"own {i}"] for i in range(6)}
+
+
 def test_slots_end_at_the_template():
     page = "<html><body><div>a<p>b</p></div><div class='k'>c</div></body></html>"
     cut = html.slots(html.parse(page), frozenset([html._token(">html.>body.>div.k")]))
