@@ -52,11 +52,16 @@ PAIRS = "lang string,a string,b string,v long"
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Occurrences and documents of each term by language and source, added up within a task."""
     held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
-
-    def counts() -> pa.RecordBatch:
-        rows = [(lang, source, t.decode(), n, docs[t]) for (lang, source), (all_, docs) in held.items() for t, n in all_.items()]
+    size = 0
+
+    def counts() -> Iterator[pa.RecordBatch]:
+        for (lang, source), (all_, docs) in held.items():
+            terms = pa.array(list(all_), pa.binary()).cast(pa.string())
+            columns = [terms, pa.array(list(all_.values()), pa.int64()), pa.array(list(map(docs.__getitem__, all_)), pa.int64())]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([name] * len(all_), pa.string()) for name in (lang, source)] + columns, names=["lang", "source", "term", "n", "docs"]
+            )
         held.clear()
-        return to_batch(list(zip(*rows, strict=True)) or [()] * 5, COUNTS)
 
     for batch in batches:
         texts = batch.column(2).cast(pa.binary())
@@ -65,11 +70,14 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if (lang, source) not in held:
                 held[lang, source] = Counter(), Counter()
             all_, docs = held[lang, source]
+            before = len(all_)
             all_.update(words)
             docs.update(set(words))
-            if sum(len(c) for c, _ in held.values()) > MOST_COUNTS:
-                yield counts()
-    yield counts()
+            size += len(all_) - before
+            if size > MOST_COUNTS:
+                yield from counts()
+                size = 0
+    yield from counts()
 
 
 def _share(count: str, total: str) -> Column:
@@ -184,7 +192,9 @@ def _against_zero(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def term_rows(docs: DataFrame, min_docs: int = MIN_DOCS, text: str = "text") -> DataFrame:
     """``lang``, ``term``, ``total`` and the non-zero ``cells`` (source, n) of every term in at least ``min_docs`` documents of its language."""
     narrow = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(a) for c, a in (("lang", "lang"), ("source", "source"), (text, "text"))])
-    counts = narrow.mapInArrow(_count_terms, COUNTS).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    # Tasks have added up their own counts, which is why these are dealt out before they are grouped.
+    dealt = narrow.mapInArrow(_count_terms, COUNTS).repartition("lang", "source", "term")
+    counts = dealt.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     rows = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("total"), F.collect_list(F.struct("source", "n")).alias("cells"))
     return rows.where(F.col("docs") >= min_docs)
 
