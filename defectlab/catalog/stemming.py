@@ -1,6 +1,18 @@
 """Porter's rules written out in SQL, to check the stemmer with."""
 
-from defectlab.functions.stem import STEP_1A, STEP_2, STEP_3, STEP_4
+# The published suffix rules, stated here anew and not taken from the code they check.
+STEP_1A = [("sses", "ss"), ("ies", "i"), ("ss", "ss"), ("s", "")]
+STEP_2 = [
+    ("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"),
+    ("abli", "able"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"),
+    ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"),
+    ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble"),
+]
+STEP_3 = [("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", "")]
+STEP_4 = [
+    "al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou",
+    "ism", "ate", "iti", "ous", "ive", "ize",
+]
 
 CONS, VOW = "[^aeiou][^aeiouy]*", "[aeiouy][aeiou]*"
 M_OVER_0 = f"^({CONS})?{VOW}{CONS}"
