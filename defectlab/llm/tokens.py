@@ -24,8 +24,6 @@ MOST_WORD_CHUNKS, MOST_WORD_PIECES = 100_000, 500_000
 
 # Unicode's White_Space, which is \s of the published pattern.
 BLANK = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-# The word file's own cuts where all characters are Latin-1 and lower case: letters, contractions, single numbers, signs.
-LATIN = re.compile(r"[a-zªµºß-öø-ÿ]+|'(?:s|t|re|ve|m|ll|d)|[0-9²³¹¼½¾]|(?:[^\w\t-\r \x85\xa0]|_)+")
 # The published pattern with its three non-blank classes taken together: none of its matches crosses these cuts.
 CHUNKS = re.compile(f" ?[^{BLANK}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]")
 
@@ -134,12 +132,49 @@ class ByteLevel:
         return starts, ends
 
 
-def _latin(text: str) -> bool:
+def _latin_tables() -> tuple[bytes, bytes, bytes, re.Pattern]:
+    """For Latin-1 bytes: lower case with all blanks as such; kinds; letters and blanks; signs, contractions and numbers."""
+    lower, kinds, signs, numbers = bytearray(range(256)), bytearray(256), b"", b""
+    for i in range(256):
+        c, own = chr(i), bytes([i])
+        if 9 <= i <= 13 or i in (0x20, 0x85, 0xA0):
+            lower[i], kinds[i] = (i if i <= 13 else 32), ord(" ")
+        elif c.isalpha():
+            lower[i] = ord(c.lower()) if ord(c.lower()) < 256 else i
+            kinds[i] = ord("a")
+        elif c.isnumeric():
+            kinds[i], numbers = ord("9"), numbers + own
+        else:
+            kinds[i], signs = ord("!"), signs + own
+    plain = bytes(i for i in range(256) if kinds[i] in b"a ")
+    cuts = re.compile(b"'(?:s|t|re|ve|m|ll|d)|[" + re.escape(signs) + b"]+|[" + re.escape(numbers) + b"]")
+    return bytes(lower), bytes(kinds), plain, cuts
+
+
+LOWER, KINDS, PLAIN, CUTS = _latin_tables()
+FEW_SIGNS = 12
+
+
+def latin_pieces(raw: bytes) -> list[bytes]:
+    """The word file's own cuts of a Latin-1 text, in lower case: letters, contractions, single numbers, runs of signs.
+
+    Where signs stand alone, as in most prose, blanks around each of them are enough.
+    """
+    low = raw.translate(LOWER)
+    signs = set(low.translate(None, PLAIN))
+    if len(signs) > FEW_SIGNS or 0x27 in signs or b"!!" in low.translate(KINDS):
+        return CUTS.sub(rb" \g<0> ", low).split()
+    for sign in signs:
+        own = bytes([sign])
+        low = low.replace(own, b" " + own + b" ")
+    return low.split()
+
+
+def _latin(text: str) -> bytes | None:
     try:
-        text.encode("latin-1")
+        return text.encode("latin-1")
     except UnicodeEncodeError:
-        return False
-    return True
+        return None
 
 
 class WordLevel:
@@ -162,7 +197,8 @@ class WordLevel:
         probe = "it's we'll x1y22 a.b!! \u00e9-\u00f6"
         return [to_alphabet(p.encode()) for p in self.pattern.findall(probe)] == self.split(probe)
 
-    def _piece(self, piece: str) -> bytes:
+    def _piece(self, piece: str | bytes) -> bytes:
+        piece = piece.decode("latin-1") if isinstance(piece, bytes) else piece
         written = piece if piece.isascii() and piece.isprintable() else to_alphabet(piece.encode())
         return array("I", [t.id for t in self.model.tokenize(written)]).tobytes()
 
@@ -174,8 +210,8 @@ class WordLevel:
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        if self.simple and (text.isascii() or _latin(text)):
-            return b"".join(map(self.pieces.__getitem__, LATIN.findall(text.lower())))
+        if self.simple and (raw := _latin(text)) is not None:
+            return b"".join(map(self.pieces.__getitem__, latin_pieces(raw)))
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # blanks for str.split(), not for Unicode
             return b"".join(map(self.chunks.__getitem__, re.findall(f"[^{BLANK}]+", text)))
         return b"".join(map(self.chunks.__getitem__, text.split()))
