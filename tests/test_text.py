@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from defectlab.functions import stem
 from defectlab.functions import text as tx
 from defectlab.functions.stem import stem_word
 from defectlab.operators import features as ft
@@ -87,3 +88,20 @@ def test_stemmed_text_and_vocabulary(spark):
     assert [r.stemmed for r in ft.stemmed(df, "v").collect()] == ["caress poni caress cat", None]
     stems = ft.stem_vocabulary(ft.token_counts(df, "v"))
     assert {r.stem: (r.n, r.tokens) for r in ft.conflate(stems).collect()} == {"caress": (2, 2), "poni": (1, 1), "cat": (1, 1)}
+
+
+def test_remembered_stems_stay_few():
+    known = stem._Known()
+    for i in range(400_000):
+        assert known["caresses"] == "caress" and known[f"w{i}"] == f"w{i}"
+    assert known["x" * 1000] == "x" * 1000
+    held = [*known, *getattr(known, "old", ())]
+    assert len(held) <= 300_001 and max(map(len, held)) <= 40 and "caresses" in held
+
+
+def test_stemmed_batches_of_any_size(spark):
+    rows = [(i, None if i % 5 == 0 else f"ponies caresses w{i}") for i in range(1500)]
+    df = spark.createDataFrame(rows, "id long, v string").coalesce(1)
+    found = {r.id: r.stemmed for r in ft.stemmed(df, "v").collect()}
+    assert found == {i: v and f"poni caress w{i}" for i, v in rows}
+    assert ft.stemmed(df.where("id < 0"), "v").collect() == []
